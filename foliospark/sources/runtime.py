@@ -90,4 +90,4 @@ def _at_exit() -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's bytes: of the files for a scan; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
