@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import bpe, decontaminate, pii
+from foliospark.llm import bpe, decontaminate, licenses, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_bpe": bpe.op4_bpe,
+        "op9_licenses": licenses.op9_licenses,
         "op10_pii": pii.op10_pii,
     }
 
