@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import bpe, decontaminate, licenses, pii, toxicity
+from foliospark.llm import bpe, decontaminate, licenses, neighbours, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_bpe": bpe.op4_bpe,
+        "op5_neighbours": neighbours.op5_neighbours,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_licenses": licenses.op9_licenses,
         "op10_pii": pii.op10_pii,
