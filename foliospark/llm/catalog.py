@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import bpe, decontaminate, licenses, neighbours, pii, toxicity
+from foliospark.llm import bpe, decontaminate, licenses, lines, neighbours, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op4_bpe": bpe.op4_bpe,
         "op5_neighbours": neighbours.op5_neighbours,
+        "op6_lines": lines.op6_lines,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_licenses": licenses.op9_licenses,
         "op10_pii": pii.op10_pii,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op10_pii": pii.ORACLE_SQL}
+    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op6_lines": lines.ORACLE_SQL, "op10_pii": pii.ORACLE_SQL}
