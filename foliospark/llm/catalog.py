@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import bpe, decontaminate, licenses, lines, neighbours, pii, toxicity
+from foliospark.llm import bpe, decontaminate, licenses, lines, neardup, neighbours, pii, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_neardup": neardup.op3_neardup,
         "op4_bpe": bpe.op4_bpe,
         "op5_neighbours": neighbours.op5_neighbours,
         "op6_lines": lines.op6_lines,
