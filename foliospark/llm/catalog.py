@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import bpe, decontaminate, licenses, lines, neardup, neighbours, pii, toxicity
+from foliospark.llm import bpe, decontaminate, licenses, lines, neardup, neighbours, pii, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,10 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_neighbours": neighbours.op5_neighbours,
         "op6_lines": lines.op6_lines,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_warc": warc.op8_warc,
         "op9_licenses": licenses.op9_licenses,
         "op10_pii": pii.op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op6_lines": lines.ORACLE_SQL, "op10_pii": pii.ORACLE_SQL}
+    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op6_lines": lines.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op10_pii": pii.ORACLE_SQL}
