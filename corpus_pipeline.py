@@ -23,13 +23,6 @@ def _clear(spark: SparkSession) -> None:
         drop_scratch(spark, tag)
 
 
-def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """n_chars follows the text where there is such a column."""
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of score TOXIC and more go. The model learns from the labels that op7 learns from."""
     _clear(spark)
@@ -40,7 +33,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go from texts; documents stay, even those that lose all lines."""
     _clear(spark)
-    return _columns(lines.dedup(docs, tag="pipe-lines"), docs)
+    out = lines.dedup(docs, tag="pipe-lines")
+    if "n_chars" in docs.columns:
+        kept = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.size("removed_lines") > 0, kept).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
