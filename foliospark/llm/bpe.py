@@ -28,21 +28,26 @@ WORDS_HELD = 1_500_000
 
 
 @lru_cache(maxsize=2)
-def _model(path: str) -> tuple:
-    """The tokenizer, its vocabulary as bytes by id, and its special tokens."""
+def _model(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> tuple[list[bytes], list[str]]:
+    """The vocabulary as bytes by id, and the special tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     # the byte alphabet: printable Latin-1 stands for itself, the other bytes for code points from 256 on
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    pieces = [b""] * t.get_vocab_size()
-    for piece, i in t.get_vocab().items():
+    ids = spec["model"]["vocab"] | {a["content"]: a["id"] for a in spec["added_tokens"]}
+    pieces = [b""] * (max(ids.values()) + 1)
+    for piece, i in ids.items():
         pieces[i] = bytes(chars[c] for c in piece) if all(c in chars for c in piece) else piece.encode()
-    return t, pieces, [a["content"] for a in spec["added_tokens"]]
+    return pieces, [a["content"] for a in spec["added_tokens"]]
 
 
 @lru_cache(maxsize=2)
@@ -51,12 +56,12 @@ def _splitter(path: str):
 
     # the split of byte-level vocabularies, a fixed value
     words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    special = _model(path)[2]
+    special = _pieces(path)[1]
     parts = regex.compile("(" + "|".join(regex.escape(s) for s in special) + ")") if special else None
 
     # up to here the categories of this module and of the tokenizer's are the same; later ones differ by Unicode version
     late = regex.compile("[^\\x00-\u0557]")
-    own = _model(path)[0].pre_tokenizer
+    own = _model(path).pre_tokenizer
 
     def plain(text: str) -> list[bytes]:
         if late.search(text):
@@ -85,7 +90,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         return _splitter(tokenizer)(text)
 
     def answer(rows: Iterator[tuple]) -> Iterator[tuple]:
-        t, _, _ = _model(tokenizer)
+        t = _model(tokenizer)
         known: dict[bytes, bytes] = {}
         for block, bucket, _, once, data in rows:
             words, (steps,) = W.unpack_words(data)
@@ -101,20 +106,29 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             flat = np.frombuffer(b"".join(ids), "<u4")
             yield block, bucket, 0, once, W.pack(steps, np.fromiter((len(x) // 4 for x in ids), "<u4", len(ids)), flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 else flat)
 
-    def add(held: dict, data: bytes) -> None:
+    def add(held: list, data: bytes) -> None:
         steps, lengths, ids = W.unpack(data)
-        raw, ends = ids.astype("<i4").tobytes(), (np.cumsum(lengths, dtype=np.int64) * 4).tolist()
-        held.update(zip(np.cumsum(steps, dtype=np.int64).tolist(), (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-
-    def finish(held: dict, doc_id: int | None, _: int, ranks: np.ndarray) -> tuple:
-        pieces = _model(tokenizer)[1]
-        ids = np.frombuffer(b"".join(map(held.__getitem__, ranks.tolist())), "<i4")
-        return doc_id, ids, b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        held.append((np.cumsum(steps, dtype=np.int64), lengths.astype(np.int64), ids.astype(np.int32)))
+
+    def finish(held: list, doc_id: int | None, _: int, ranks: np.ndarray) -> tuple:
+        if len(held) > 1 or held and len(held[0]) == 3:
+            # the block's words are complete: each word's ids, by rank, in one array
+            words, lengths, ids = (np.concatenate([x[i] for x in held]) for i in range(3))
+            first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            first[words], size[words] = np.cumsum(lengths) - lengths, lengths
+            held[:] = [(first, size, ids, None)]
+        if not len(ranks):
+            return doc_id, np.zeros(0, np.int32), ""
+        first, size, ids, _ = held[0]
+        n = size[ranks]
+        at = np.arange(n.sum()) + np.repeat(first[ranks] - np.cumsum(n) + n, n)
+        pieces = _pieces(tokenizer)[0]
+        return doc_id, ids[at], b"".join(map(pieces.__getitem__, ids[at].tolist())).decode("utf-8", "replace")
 
     parts = table(W.split_blocks(docs, split, lambda _: 0, W.buckets_for(docs)), "bpe-words", "bpe")
     ids = W.by_bucket(parts.where("kind = 0"), answer)
     fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
-    return W.by_block(ids.unionByName(parts.where("kind = 1")), dict, add, finish, fields, "doc_id long, ids array<int>, decoded string")
+    return W.by_block(ids.unionByName(parts.where("kind = 1")), list, add, finish, fields, "doc_id long, ids array<int>, decoded string")
 
 
 def default_tokenizer() -> str:

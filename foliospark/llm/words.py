@@ -8,6 +8,8 @@ return by block. Rows moved: blocks x buckets, whatever the number of words.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import struct
 from collections.abc import Callable, Iterator
 from zlib import crc32
@@ -22,16 +24,24 @@ from foliospark.sources.runtime import plan_bytes
 
 #: Text of a block, and of a bucket's share of the input as Catalyst sees it. More buckets than MOST_BUCKETS would
 #: only make packed rows too small; a bucket's words are then held by fewer, larger dictionaries.
-BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 8 << 20, 4096
+BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 8 << 20, 4096
 
 #: Words of documents that travel in one row.
-CHUNK_WORDS = 50_000
+CHUNK_WORDS = 300_000
 
 #: kind 0: packed words of (block, bucket), or answers to them; kind 1: documents of the block, bucket being their
 #: order. once: the block's first rank of words that stand once.
 SCHEMA = "block long, bucket int, kind int, once int, data binary"
 
 
+def relax() -> None:
+    """Give memory back at a task's end: the worker goes on to other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def buckets_for(docs: DataFrame) -> int:
     return max(24, min(MOST_BUCKETS, plan_bytes(docs) // BUCKET_BYTES))
 
@@ -66,19 +76,19 @@ def unpack_words(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
 
 
 def pack_docs(docs: list[tuple[int | None, int, np.ndarray]]) -> bytes:
-    """Ids, flags and ranks of documents. Frequent ranks take a byte, others three more; the streams apart."""
+    """Ids, flags and ranks of documents. Frequent ranks take a byte, others four more; the streams apart."""
     ranks = np.concatenate([x for _, _, x in docs])
     low = np.minimum(ranks, 255).astype("|u1")
     rest = (ranks[ranks >= 255] - 255).astype("<u4")
     ids = np.array([d or 0 for d, _, _ in docs], "<i8")
-    return pack(ids, np.array([d is None for d, _, _ in docs], "|u1"), np.array([f for _, f, _ in docs], "|u1"), np.array([len(x) for _, _, x in docs], "<u4"), low, (rest & 0xFFFF).astype("<u2"), (rest >> 16).astype("<u2"))
+    return pack(ids, np.array([d is None for d, _, _ in docs], "|u1"), np.array([f for _, f, _ in docs], "|u1"), np.array([len(x) for _, _, x in docs], "<u4"), low, *((rest >> shift & 0xFF).astype("|u1") for shift in (0, 8, 16, 24)))
 
 
 def unpack_docs(blob: bytes, once: int, seen: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """once: the first rank of the words that stand once in the block; seen: how many of those came before."""
-    ids, null, flags, lengths, low, a, b = unpack(blob)
+    ids, null, flags, lengths, low, *rest = unpack(blob)
     ranks = low.astype(np.int64)
-    ranks[low == 255] += a.astype(np.int64) + (b.astype(np.int64) << 16)
+    ranks[low == 255] += sum(x.astype(np.int64) << 8 * i for i, x in enumerate(rest))
     ranks -= 1
     new = np.flatnonzero(ranks < 0)
     ranks[new] = once + seen + np.arange(len(new))
@@ -150,6 +160,7 @@ def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_o
                     yield from flush()
         if docs_of:
             yield from flush()
+        relax()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, SCHEMA)
 
@@ -174,6 +185,7 @@ def _stream(rows: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]])
                 out.clear()
         if out:
             yield batch_of(out)
+        relax()
 
     return rows.mapInArrow(go, SCHEMA)
 
@@ -196,6 +208,8 @@ def by_block(rows: DataFrame, start: Callable[[], object], add: Callable[[object
                         out.append(finish(held, doc_id, flag, ranks))
                         seen += int((ranks >= once).sum())
                     yield _rows(out, fields)
+        held = None
+        relax()
 
     return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(go, schema)
 
