@@ -1,6 +1,6 @@
 """Licence scan by a positional index of rare words.
 
-The templates' words outside COMMON are indexed: word to (template, position). A pass over all documents counts in how
+The templates' rare words are indexed: word to (template, position). A pass over all documents counts in how
 many of them each indexed word stands. Then each document's RARE words of highest IDF are looked up; a posting votes
 with its IDF for (template, place of the template's start), and a template's coverage is its best place's share of what
 its own words could give. A template is found at coverage LEAST or more if its mandatory phrase stands in the text.
@@ -34,7 +34,10 @@ TEMPLATES = {
     "all-rights-reserved": ("All rights reserved", "all rights reserved"),
 }
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
-COMMON = set("a all and any are by copy fee following for form forms free general in into is it met nc of or person source subject terms that the this to under use with without work 0 2 3 4".split())
+#: Words of the templates that are indexed: those that other texts seldom hold. The rest is left to the phrases.
+INDEXED = "apache binary documentation gnu granted hereby lesser license licensed modification mozilla permission redistribution released reserved rights software unencumbered version".split()
+#: What every indexed word holds one of: texts without any are not taken apart.
+NEEDLES = "apache binary documentation gnu granted hereby lesser licens modification mozilla permission redistribution released reserved rights software unencumbered version".split()
 
 RARE, LEAST = 12, 0.75
 
@@ -46,32 +49,38 @@ def _words(text: str) -> list[str]:
     return re.findall(WORD + "+", text.lower())
 
 
-#: word -> [(template number, position)], of the words outside COMMON
+#: word -> [(template number, position)], of the indexed words
 POSTINGS: dict[str, list[tuple[int, int]]] = {}
 for _n, (_text, _) in enumerate(TEMPLATES.values()):
     for _at, _word in enumerate(_words(_text)):
-        if _word not in COMMON:
+        if _word in INDEXED:
             POSTINGS.setdefault(_word, []).append((_n, _at))
 
-INDEXED = f"(?i)(?<!{WORD})(?:{'|'.join(sorted(POSTINGS))})(?!{WORD})"
-
-
 def phrase(words: str) -> str:
     """A pattern of words that stand one after the other."""
     return f"(?<!{WORD}){(GAP + '++').join(words.split())}(?!{WORD})"
 
 
+def _holds(lowered: Column) -> Column:
+    """Whether a lower-cased text can hold an indexed word."""
+    out = F.contains(lowered, F.lit(NEEDLES[0]))
+    for n in NEEDLES[1:]:
+        out = out | F.contains(lowered, F.lit(n))
+    return out
+
+
 def _hits(text: Column) -> Column:
     """Indexed words of a text and their positions, in order."""
     # ASCII capitals only are lower-cased: lower() also turns other letters into ASCII ones
-    every = F.transform(F.regexp_extract_all(text, F.lit(WORD + "+"), F.lit(0)), lambda w, i: F.struct(F.when(w.rlike("^[0-9A-Za-z]+$"), F.lower(w)).otherwise(w).alias("word"), i.alias("at")))
-    return F.filter(every, lambda h: h["word"].isin(list(POSTINGS)))
+    every = F.transform(F.regexp_extract_all(text, F.lit(WORD + "+"), F.lit(0)), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    some = F.filter(every, lambda h: F.lower(h["word"]).isin(list(POSTINGS)) & (F.octet_length(h["word"]) == F.length(h["word"])))
+    return F.transform(some, lambda h: F.struct(F.lower(h["word"]).alias("word"), h["at"].alias("at")))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
     """How many documents there are, and in how many each indexed word stands: as many rows as there are such words."""
     column = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    present = F.when(column.rlike(INDEXED), F.array_distinct(F.transform(_hits(column), lambda h: h["word"]))).otherwise(F.expr("cast(array() as array<string>)"))
+    present = F.when(_holds(F.lower(column)), F.array_distinct(F.transform(_hits(column), lambda h: h["word"]))).otherwise(F.expr("cast(array() as array<string>)"))
     rows = docs.select(F.explode(F.concat(F.array(F.lit("")), present)).alias("word")).groupBy("word").count().collect()
     counts = {r["word"]: r["count"] for r in rows}
     return counts.pop("", 0), counts
@@ -83,13 +92,16 @@ def scan(docs: DataFrame, *, text: str = "text", into: str = "license") -> DataF
     idf = {w: log((total + 1) / (seen.get(w, 0) + 1)) + 1 for w in POSTINGS}
     column = F.coalesce(F.col(text).cast("string"), F.lit(""))
 
+    lowered = docs.withColumn("__text", column).withColumn("__lower", F.lower("__text"))
+    asked = lowered.withColumn("__holds", _holds(F.col("__lower"))).withColumn("__license", F.contains("__lower", F.lit("license"))).drop("__lower")
+    column = F.col("__text")
+
     # base phrases: the text is parted before each; words of the parts add up to the phrases' positions
     any_base = "(?i)(?:" + "|".join(phrase(p) for p in BASE.values()) + ")"
     count = lambda c: F.regexp_count(c, F.lit(WORD + "+"))
     parts = F.transform(F.split(F.concat(F.lit("\n"), column), f"(?i)(?={'|'.join(phrase(p) for p in BASE.values())})", -1), count)
     starts = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.expr("cast(array() as array<int>)"), lambda a, n: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + n)))
-    no_starts = F.expr("cast(array() as array<int>)")
-    starts = F.when(column.rlike(any_base), starts).otherwise(no_starts)
+    starts = F.when(F.col("__license") & column.rlike(any_base), starts).otherwise(F.expr("cast(array() as array<int>)"))
     base = F.filter(F.array(*(F.when(column.rlike(f"(?i){phrase(p)}"), F.lit(label)) for label, p in BASE.items())), lambda x: x.isNotNull())
 
     # votes: indexed words of highest IDF, each posting for (template, start), as one number
@@ -97,7 +109,8 @@ def scan(docs: DataFrame, *, text: str = "text", into: str = "license") -> DataF
     ranks = F.create_map(*(x for w, i in order.items() for x in (F.lit(w), F.lit(i))))
     weights = F.create_map(*(x for w in POSTINGS for x in (F.lit(w), F.lit(idf[w]))))
     postings = F.create_map(*(x for w, p in POSTINGS.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in p)))))
-    hits = _hits(column)
+    asked = asked.withColumn("__hits", F.when(F.col("__holds"), _hits(column)).otherwise(F.expr("cast(array() as array<struct<word:string,at:int>>)")))
+    hits = F.col("__hits")
     rare = F.slice(F.array_sort(F.array_distinct(F.transform(hits, lambda h: ranks[h["word"]]))), 1, RARE)
     votes = F.flatten(F.transform(F.filter(hits, lambda h: F.array_contains(rare, ranks[h["word"]])), lambda h: F.transform(postings[h["word"]], lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["at"]).alias("start"), weights[h["word"]].alias("w")))))
     zeros = F.array(*(F.lit(0.0) for _ in TEMPLATES))
@@ -111,10 +124,10 @@ def scan(docs: DataFrame, *, text: str = "text", into: str = "license") -> DataF
     best = F.aggregate(F.array_sort(votes), zero, step, lambda acc: acc["best"])
     full = [sum(idf[w] for w, p in POSTINGS.items() for t, _ in p if t == n) for n in range(len(TEMPLATES))]
     found = F.transform(best, lambda b, i: F.least(F.lit(1.0), F.round(b / F.array(*map(F.lit, full))[i], 6)))
-    coverage = F.when(column.rlike(INDEXED), found).otherwise(zeros)
+    coverage = F.when(F.size(hits) > 0, found).otherwise(zeros)
     own = [F.when((F.get(F.col("__coverage"), F.lit(n)) >= LEAST) & column.rlike(f"(?i){phrase(key)}"), F.struct(F.lit(label).alias("label"), F.get(F.col("__coverage"), F.lit(n)).alias("coverage"))) for n, (label, (_, key)) in enumerate(TEMPLATES.items())]
     matched = F.when(F.array_max(F.col("__coverage")) >= LEAST, F.filter(F.array(*own), lambda x: x.isNotNull())).otherwise(F.expr("cast(array() as array<struct<label:string,coverage:double>>)"))
-    out = docs.withColumn("__coverage", coverage).withColumn("__own", matched).withColumn("__starts", starts)
+    out = asked.withColumn("__coverage", coverage).withColumn("__own", matched).withColumn("__starts", starts)
     bases = F.when(F.size("__starts") > 0, base).otherwise(F.expr("cast(array() as array<string>)"))
     return out.withColumn(
         into,
@@ -126,7 +139,7 @@ def scan(docs: DataFrame, *, text: str = "text", into: str = "license") -> DataF
             F.greatest(F.when(F.size("__starts") > 0, 0.5).otherwise(0.0), F.coalesce(F.array_max(F.transform("__own", lambda x: x["coverage"])), F.lit(0.0))).alias("score"),
             F.col("__own").alias("templates"),
         ),
-    ).drop("__coverage", "__own", "__starts")
+    ).drop("__coverage", "__own", "__starts", "__text", "__holds", "__license", "__hits")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
