@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import bpe, decontaminate, licenses, lines, neardup, neighbours, pii, toxicity, warc
+from foliospark.llm import bpe, decontaminate, licenses, lines, mixing, neardup, neighbours, pii, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_neardup": neardup.op3_neardup,
         "op4_bpe": bpe.op4_bpe,
