@@ -1 +1 @@
-
+"""Scalar functions as column expressions, and the tables behind them."""

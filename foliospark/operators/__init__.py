@@ -1 +1 @@
-
+"""Relational operators over segments, glyphs, operators and form fields."""
