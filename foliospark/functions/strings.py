@@ -53,9 +53,9 @@ def decode(codes: Column, encoding: str) -> Column:
     table = tables.encoding(encoding)
     changed = [b for b in range(256) if table[b] and table[b] != b]
     text = F.translate(F.decode(codes, "ISO-8859-1"), "".join(map(chr, changed)), "".join(chr(table[b]) for b in changed))
-    # what is unassigned decodes to U+0000
-    missing = [b for b in range(256) if not table[b] and b]
-    return F.translate(text, "".join(map(chr, missing)), "\0" * len(missing)) if missing else text
+    # what is unassigned decodes to U+0000, which translate() would drop
+    missing = [b for b in range(1, 256) if not table[b]]
+    return F.regexp_replace(text, "[" + "".join(f"\\x{b:02x}" for b in missing) + "]", "\0") if missing else text
 
 
 def pdf_string(b: Column) -> Column:

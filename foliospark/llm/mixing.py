@@ -45,6 +45,12 @@ STARTS = np.cumsum([0, *(1 << t for t in TABLES)])
 PART, SLICE, STEP, HELD, TASK_BYTES = 1 << 16, 1 << 15, 1 << 12, 1_500_000, 32 << 20
 PRIOR, RIDGE, LEVELS, BINS, CLIP = 0.05, 4.0, 7, 33, 14.0
 GATES = 8 * 8 * LEVELS
+#: Tables travel as bytes, an eighth of a power of two a step; what a byte stands for.
+COUNTS = (2.0 ** (np.arange(256) / 8) - 1).astype(np.float32)
+
+
+def _coded(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(8 * np.log2(1 + n)), 255).astype(np.uint8)
 
 #: Classes of texts, documents that they are found in, counts that tell them apart.
 CLASSES, SAMPLE, FEATURES, SEED = 8, 4096, 1024, 5
@@ -173,7 +179,7 @@ class Mixer:
 
     def odds(self, slots: np.ndarray, zeros: np.ndarray, ones: np.ndarray, place: np.ndarray, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Contexts' log odds, gates and mixed log odds; bits, if given, are taken out of the counts first."""
-        n0, n1 = zeros[slots], ones[slots]
+        n0, n1 = COUNTS[zeros[slots]], COUNTS[ones[slots]]
         if bits is not None:
             n0, n1 = np.maximum(n0 - (1 - bits), 0), np.maximum(n1 - bits, 0)
         x = np.log(n1 + np.float32(PRIOR)) - np.log(n0 + np.float32(PRIOR))
@@ -224,8 +230,7 @@ class Mixer:
 
 @dataclass
 class Model:
-    zeros: np.ndarray
-    ones: np.ndarray
+    tables: Broadcast
     mixer: Mixer
     tokens: int
     distinct: int
@@ -305,14 +310,13 @@ def fit(parts: DataFrame, vocabulary: DataFrame) -> Model:
                 else:
                     held[part] = [a.copy(), b.copy()]
         for part, (a, b) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([W.pack(a, b)], pa.binary())], names=["part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([W.pack(_coded(a), _coded(b))], pa.binary())], names=["part", "data"])
 
     sums = table(packed.mapInArrow(counted, "part int, data binary").repartition("part").mapInArrow(added, "part int, data binary"), "mixing-tables")
-    zeros, ones = np.zeros(slots, np.float32), np.zeros(slots, np.float32)
+    zeros, ones = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)
     for r in sums.toLocalIterator():  # parts of tables of a fixed size
         at = r["part"] * PART
-        a, b = W.unpack(bytes(r["data"]))
-        zeros[at : at + PART], ones[at : at + PART] = a, b
+        zeros[at : at + PART], ones[at : at + PART] = W.unpack(bytes(r["data"]))
     sent = spark.sparkContext.broadcast((zeros, ones))
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +339,8 @@ def fit(parts: DataFrame, vocabulary: DataFrame) -> Model:
     if mixers:
         m.weights = (sum(t * w for t, w, _, _ in mixers) / sum(t for t, _, _, _ in mixers)).astype(np.float32).reshape(GATES, ORDERS)
         m.seen = sum(s for _, _, s, _ in mixers).reshape(2, -1)
-    sent.unpersist()
     sums = sum((s for _, _, _, s in mixers), np.zeros(2 * (CLASSES + 1))).reshape(2, -1)
-    return Model(zeros, ones, m, tokens, distinct, sums)
+    return Model(sent, m, tokens, distinct, sums)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -390,7 +393,7 @@ def _answers(sent: Broadcast, rows: Iterator[tuple]) -> Iterator[tuple]:
             known.clear()
             new = words
         if new:
-            bits = model.mixer.score(new, model.zeros, model.ones)
+            bits = model.mixer.score(new, *model.tables.value)
             cls = np.fromiter((w[0] for w in new), np.int64, len(new))
             mine, whole = (np.fromiter((d.get(w, 0) for w in x), float, len(new)) for d, x in ((own, new), (counts, [w[1:] for w in new])))
             known.update(zip(new, model.interpolated(bits, cls, mine, whole).tolist(), strict=True))
