@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.plans import form_queries, render_queries, segment_queries, table_queries, text_queries
+from foliospark.plans import form_queries, pdf_queries, render_queries, segment_queries, table_queries, text_queries
 
-MODULES = [segment_queries, text_queries, table_queries, form_queries, render_queries]
+MODULES = [segment_queries, text_queries, table_queries, form_queries, render_queries, pdf_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
