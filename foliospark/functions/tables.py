@@ -84,8 +84,8 @@ def glyph_names(path: str | None = None) -> dict[str, int]:
 
 @lru_cache(maxsize=16)
 def core_widths(font: str) -> dict[int, int]:
-    """Code point to width of a standard font: of ASCII as stated, of accented letters as of the bare ones; Courier's
-    are all alike. Fonts without stated widths have those of their family's upright one."""
+    """Code point to width of a standard font: of ASCII as stated, of accented letters as of the bare ones,
+    of other signs as of an n; Courier's are all alike. Fonts without stated widths have those of their family's upright one."""
     if font.startswith("Courier"):
         return dict.fromkeys([*range(32, 127), *range(0xA0, 0x180), *OTHER_NAMES.values()], 600)
     name = {"Helvetica-Oblique": "Helvetica", "Helvetica-BoldOblique": "Helvetica-Bold", "Times-Italic": "Times-Roman", "Times-BoldItalic": "Times-Bold"}.get(font, font)
@@ -96,5 +96,7 @@ def core_widths(font: str) -> dict[int, int]:
         bare = unicodedata.normalize("NFD", chr(c))[0]
         if ord(bare) in out:
             out[c] = out[ord(bare)]
+    # other signs as wide as an n, which is about what they are
+    out |= {c: out[0x6E] for c in range(0xA1, 0x180) if c not in out}
     digit = out[0x30]
     return out | {0xA0: out[0x20], 0x2013: digit, 0x2014: 1000, 0x2018: out[0x2C], 0x2019: out[0x2C], 0x201C: 2 * out[0x60] - out[0x2C], 0x201D: 2 * out[0x60] - out[0x2C], 0x20AC: digit, 0xA3: digit, 0xA5: digit}
