@@ -1,6 +1,6 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least LEAST characters take part, without white space at their ends. Of equal lines the first stays, by
+Lines of at least LEAST characters take part, without ASCII white space at their ends. Of equal lines the first stays, by
 (doc_id, line number); of two lines within EDITS edits, the later goes, wherever it stands. A line of n characters is
 cut into EDITS + 1 segments; a line within EDITS edits of it holds one of them unchanged, at a place that the lengths
 narrow down. So lines meet by (length, segment number, substring), and a banded bit-parallel edit distance verifies
@@ -23,15 +23,22 @@ from pyspark.sql import functions as F
 from foliospark.sources.runtime import table
 
 LEAST, EDITS, BROADCAST_ROWS = 20, 2, 1_000_000
+SPACE = " \t\r\f\v"
+#: Letters whose counts, modulo 16, travel with the keys of crowded segments' lines: an edit changes their sum by two at most, so lines whose counts
+#: differ by more than that are not compared. Near copies share segments though they differ by whole words; without
+#: this, their groups would meet pair by pair.
+LETTERS = "enisratdhulcgmob"
+#: A segment is crowded if more lines than this have it at its place.
+CROWD = 4
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Lines that take part, with their place in the order of lines and two hashes."""
-    line = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
+    line = F.btrim(F.col("raw"), F.lit(SPACE))
     return (
         docs.select(F.col("__id"), F.xxhash64("__text").alias("__th"), F.posexplode(F.split("__text", "\n", -1)).alias("no", "raw"))
         .where(F.length("raw") >= LEAST)
-        .withColumn("line", F.when(F.col("raw").rlike(r"(?U)^\s|\s$"), line).otherwise(F.col("raw")))
+        .withColumn("line", line)
         .where(F.length("line") >= LEAST)
         .select(F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("no"), F.col("__th").alias("th")).alias("at"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), "line")
     )
@@ -55,6 +62,25 @@ def _key(length: Column, i: int, part: Column) -> Column:
     return F.xxhash64(length, F.lit(i), part)
 
 
+def counts(line: Column) -> Column:
+    """Sixteen counts of four bits."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft((n % 16).cast("long"), 4 * i))
+    return out
+
+
+def apart(a: Column, b: Column) -> Column:
+    """At most the sum of the differences of two lines' counts."""
+    out = F.lit(0)
+    for i in range(len(LETTERS)):
+        nibble = lambda c: F.shiftrightunsigned(c, 4 * i).bitwiseAND(F.lit(15).cast("long")).cast("int")  # noqa: B023, E731
+        d = F.abs(nibble(a) - nibble(b))
+        out = out + F.least(d, 16 - d)
+    return out
+
+
 def index_keys(line: Column, edits: int) -> Column:
     n = F.length(line)
     return F.array(*(_key(n, i, F.substring(line, *segment(n, i, edits))) for i in range(1, edits + 2)))
@@ -130,10 +156,17 @@ def mark(docs: DataFrame, *, edits: int = EDITS, tag: str = "lines") -> DataFram
     repeated = table(occurrences.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "lines-repeated", tag)
     again = _join(occurrences, repeated, ["h", "g"], "inner").where("at != first").select("at")
 
-    once = _join(_lines(slim), repeated, ["h", "g"], "left").where("first is null or at = first").drop("first")
-    index = once.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("h").alias("a"))
-    probe = once.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), F.col("h").alias("b"))
-    met = index.join(probe.hint("merge"), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = table(_join(_lines(slim), repeated, ["h", "g"], "left").where("first is null or at = first").drop("first").withColumn("keys", index_keys(F.col("line"), edits)), "lines-once", tag)
+    # lines of crowded segments get counts, so that of near copies only those that can be near are listed as pairs
+    index = once.select("h", F.explode("keys").alias("key"))
+    crowds = table(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "lines-crowds", tag)
+    crowded = table(_join(index, crowds, "key", "inner").select("h").distinct().withColumn("crowded", F.lit(True)), "lines-crowded", tag)
+    keyed = _join(once, crowded, "h", "left").withColumn("counts", F.when(F.col("crowded"), counts(F.col("line"))))
+    index = keyed.select(F.explode("keys").alias("key"), F.col("h").alias("a"), F.col("counts").alias("ca"))
+    probe = keyed.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), F.col("h").alias("b"), F.col("counts").alias("cb"))
+    near = F.coalesce(apart(F.col("ca"), F.col("cb")) <= 2 * edits, F.lit(True))
+    meet = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & near
+    met = index.join(probe.hint("merge"), meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = table(met, "lines-pairs", tag)
     ids = table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines-ids", tag)
     texts = table(_join(once, ids, "h", "inner").select("h", "g", "at", "line"), "lines-texts", tag)
