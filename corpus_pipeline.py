@@ -31,13 +31,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go from texts; documents stay, even those that lose all lines."""
+    """Repeated and nearly repeated lines go from texts; documents go of which that leaves only white space, as they
+    were nothing but repeats."""
     _clear(spark)
     out = lines.dedup(docs, tag="pipe-lines")
     if "n_chars" in docs.columns:
         kept = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.size("removed_lines") > 0, kept).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return out.where((F.size("removed_lines") == 0) | (F.length(F.regexp_replace("text", r"\s+", "")) > 0)).select(docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
