@@ -6,7 +6,7 @@ without. Spans are in code points, end exclusive.
 Kinds email, ip, card and phone are found leftmost and without overlap within a kind; a match that its validator
 turns down is dropped. Kinds iban (mod-97) and ssn (which needs a context word) are the method's own; they stand alone,
 not within longer runs of letters and digits. Scores run from 0 to 1: what the form of a span is worth, more for a
-passed checksum, more for a context word within NEAR characters.
+passed checksum, more for a context word within NEAR characters, up to the next match of the kind.
 
 Null and empty texts have no spans. Rows are treated one by one, so repeated rows repeat. A column of the result's name
 is replaced.
@@ -55,7 +55,7 @@ def _phone(c: Column) -> Column:
 def _mod97(c: Column) -> Column:
     moved = F.concat(F.substring(c, 5, 64), F.substring(c, 1, 4))
     value = F.aggregate(
-        F.split(moved, "(?!^)"),
+        F.filter(F.split(moved, ""), lambda x: x != ""),
         F.lit(0).cast("long"),
         lambda a, x: F.when(x.rlike("[0-9]"), (a * 10 + F.ascii(x) - 48) % 97).otherwise((a * 100 + F.ascii(x) - 55) % 97),
     )
@@ -83,7 +83,9 @@ def _spans(text: Column, kind: Kind) -> Column:
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     rank = [k.name for k in KINDS].index(kind.name)
     parts, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    sized = F.transform(found, lambda m, i: F.struct(F.get(parts, i).alias("before"), m.alias("text"), F.get(parts, i + 1).alias("after")))
+    # a match with the parts on either side
+    pairs = F.zip_with(found, parts, lambda m, p: F.struct(m.alias("text"), p.alias("before")))
+    sized = F.filter(F.zip_with(pairs, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda x, after: F.struct(x["before"].alias("before"), x["text"].alias("text"), after.alias("after"))), lambda x: x["text"].isNotNull())
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
