@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
+from foliospark.pdf import color as colors
 from foliospark.pdf.fonts import Font
 from foliospark.pdf.objects import Document, Name, PdfError, Stream, operations
 
@@ -45,17 +46,24 @@ class State:
     scale: float = 1.0
     leading: float = 0.0
     rise: float = 0.0
+    fill: dict = field(default_factory=lambda: {"kind": "DeviceGray"})
+    stroke: dict = field(default_factory=lambda: {"kind": "DeviceGray"})
+    fill_color: tuple = (0.0,)
+    stroke_color: tuple = (0.0,)
+    width: float = 1.0
+    mask: dict | None = None
 
 
 @dataclass
 class Page:
-    """What a page gives: segments and, if asked for, glyphs; operators are counted."""
+    """What a page gives: segments and, if asked for, glyphs and painted paths; operators are counted."""
 
     box: tuple[float, float, float, float]
     number: int
     segments: list[dict] = field(default_factory=list)
     glyphs: list[tuple] = field(default_factory=list)
     counts: dict[str, int] = field(default_factory=dict)
+    paths: list[tuple] = field(default_factory=list)
 
 
 def number(x) -> float:
@@ -125,6 +133,25 @@ class Interpreter:
                     page.glyphs.append((page.counts.get("", 0), n, out, w0, gap, s.size, *trm, trm[4], height - trm[5], seen))
                 s.tm = times((1.0, 0.0, 0.0, 1.0, s.scale * (w0 * s.size + gap), 0.0), s.tm)
 
+        path: list[tuple[str, list[float]]] = []
+
+        def draw(op: str, args: list) -> None:
+            """Path steps M, L, C, R and Z; v starts a curve where the path is, y ends one at its control point."""
+            v = [number(a) for a in args]
+            if op == "v":
+                if not path or path[-1][0] in "RZ":
+                    raise PdfError("Path", "a curve starts nowhere")
+                v = [*path[-1][1][-2:], *v]
+            elif op == "y":
+                v = [*v, *v[-2:]]
+            path.append(({"m": "M", "l": "L", "h": "Z", "re": "R"}.get(op, "C"), v))
+
+        def paint(how: str) -> None:
+            if self.trace and how and path:
+                space, tint = (s.stroke, s.stroke_color) if how == "stroke" else (s.fill, s.fill_color)
+                page.paths.append((page.counts.get("", 0), how, space["kind"], list(tint), s.width, *s.ctm, list(path)))
+            path.clear()
+
         def move(tx: float, ty: float) -> None:
             s.line = s.tm = times((1.0, 0.0, 0.0, 1.0, tx, ty), s.line)
 
@@ -186,6 +213,33 @@ class Interpreter:
                 case "Q":
                     if saved:
                         s = saved.pop()
+                case "CS" | "cs":
+                    space = colors.colorspace(self.doc, str(args[0]), resources)
+                    if op == "CS":
+                        s.stroke = space
+                    else:
+                        s.fill = space
+                case "SC" | "SCN":
+                    s.stroke_color = () if s.stroke["kind"] == "Pattern" else tuple(number(v) for v in args)
+                case "sc" | "scn":
+                    s.fill_color = () if s.fill["kind"] == "Pattern" else tuple(number(v) for v in args)
+                case "w":
+                    s.width = number(args[0])
+                case "gs":
+                    given = self.doc.dict(self.doc.dict(resources.get("ExtGState", {})).get(str(args[0])))
+                    if "SMask" in given:
+                        mask = self.doc.get(given["SMask"])
+                        if mask != "None" and not isinstance(mask, dict):
+                            raise PdfError("ExtGState", "a soft mask of another type")
+                        s.mask = mask if isinstance(mask, dict) else None
+                case "m" | "l" | "c" | "v" | "y" | "h" | "re":
+                    draw(op, args)
+                case "S":
+                    paint("stroke")
+                case "F" | "f":
+                    paint("fill")
+                case "n":
+                    paint("")
                 case "Do" if args and isinstance(args[0], Name):
                     ref = self.doc.dict(resources.get("XObject", {})).get(str(args[0]))
                     form = self.doc.get(ref)

@@ -1,6 +1,6 @@
 """PDF files as tables. A kernel over Arrow batches interprets pages; what is wrong with a file becomes a row of errors.
 
-`what` picks the columns: segments, glyphs, pages, info, ops or fields. Files are (path, content) rows: of
+`what` picks the columns: segments, glyphs, paths, pages, info, ops or fields. Files are (path, content) rows: of
 spark.read.format("binaryFile"), of a stream of it, or of any frame with a binary column.
 """
 
@@ -23,6 +23,7 @@ _COMMON = "doc_id string, status string, error_class string, error string"
 SCHEMAS = {
     "segments": f"{_COMMON}, page_num int, seg_no int, content string, font_name string, font_size double, transformed_font_size double, x double, y double, is_bold boolean, cutat string",
     "glyphs": f"{_COMMON}, page_num int, op_no int, glyph_no int, text string, w0 double, spacing double, size double, a double, b double, c double, d double, e double, f double, x double, y double, visible boolean",
+    "paths": f"{_COMMON}, page_num int, op_no int, painted string, space string, tint array<double>, width double, a double, b double, c double, d double, e double, f double, ops array<struct<op:string;args:array<double>>>",
     "pages": f"{_COMMON}, page_num int, llx double, lly double, urx double, ury double",
     "info": f"{_COMMON}, version string, info map<string,string>, page_count int",
     "ops": f"{_COMMON}, page_num int, op string, n long",
@@ -89,12 +90,14 @@ def _rows(data: bytes, what: str, password: bytes, wanted: tuple[int, int] | Non
             yield num, *out.box
             continue
         resources = doc.get(page.get("Resources"))
-        Interpreter(doc, out, mode, what == "glyphs", fonts).run(doc.content(page), resources if isinstance(resources, dict) else {})
+        Interpreter(doc, out, mode, what in ("glyphs", "paths"), fonts).run(doc.content(page), resources if isinstance(resources, dict) else {})
         if what == "segments":
             for n, s in enumerate(out.segments):
                 yield num, n, *(s[k] for k in ("content", "font_name", "font_size", "transformed_font_size", "x", "y", "is_bold", "cutat"))
         elif what == "ops":
             yield from ((num, op, n) for op, n in sorted(out.counts.items()) if op)
+        elif what == "paths":
+            yield from ((num, *p[:-1], [{"op": op, "args": v} for op, v in p[-1]]) for p in out.paths)
         else:
             yield from ((num, *g) for g in out.glyphs)
 
@@ -125,7 +128,7 @@ def kernel(what: str, password: str | None = None, pages: tuple[int, int] | None
 
 
 def _arrow(what: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string;string>": pa.map_(pa.string(), pa.string())}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "array<struct<op:string;args:array<double>>>": pa.list_(pa.struct([("op", pa.string()), ("args", pa.list_(pa.float64()))])), "map<string;string>": pa.map_(pa.string(), pa.string())}
     fields = [f.split(" ") for f in SCHEMAS[what].replace("map<string,string>", "map<string;string>").split(", ")]
     return pa.schema([(n, kinds[k]) for n, k in fields])
 
@@ -134,7 +137,7 @@ def parse(files: DataFrame, what: str = "segments", *, doc_id: str = "path", con
     """Files to rows of SCHEMAS[what]. pages: first and last page to take, found before anything is interpreted. mode:
     PERMISSIVE makes a broken file a row of status error, DROPMALFORMED leaves it out, FAILFAST fails."""
     ship(files.sparkSession)
-    return files.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content")).mapInArrow(kernel(what, password, pages, mode, compat), SCHEMAS[what])
+    return files.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content")).mapInArrow(kernel(what, password, pages, mode, compat), SCHEMAS[what].replace(";", ","))
 
 
 def read_pdf(spark: SparkSession, path: str, what: str = "segments", **options) -> DataFrame:
@@ -166,3 +169,38 @@ def extract_text(files: DataFrame, **options) -> DataFrame:
     area: Column = (F.col("a") + F.col("c")) * (F.col("b") + F.col("d"))
     size = F.when(area < 0, float("nan")).otherwise(F.abs("size") * F.sqrt(F.greatest(area, F.lit(0.0))))
     return render.plain_text(g.withColumn("size", size))
+
+
+def _bodies(rows: DataFrame, order: list[str]) -> DataFrame:
+    """doc_id, page_num, body: fragments of a page in order."""
+    whole = F.array_sort(F.collect_list(F.struct(*order, "fragment")))
+    return rows.groupBy("doc_id", "page_num").agg(F.array_join(F.transform(whole, lambda x: x["fragment"]), "").alias("body"))
+
+
+def svg(files: DataFrame, **options) -> DataFrame:
+    """doc_id, page_num, svg: filled paths of each page."""
+    fills = good(parse(files, "paths", **options)).where("painted = 'fill'")
+    padded = F.transform("ops", lambda o: F.struct(o["op"].alias("op"), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.coalesce(F.get(o["args"], i), F.lit(0.0))).alias("args")))
+    bodies = _bodies(fills.select("doc_id", "page_num", "op_no", render.svg_path(padded, [F.col(c) for c in "abcdef"]).alias("fragment")), ["op_no"])
+    pages = good(parse(files, "pages", **options))
+    return pages.join(bodies, ["doc_id", "page_num"], "left").select("doc_id", "page_num", render.svg_page(F.col("llx"), F.col("lly"), F.col("urx"), F.col("ury"), F.coalesce("body", F.lit(""))).alias("svg"))
+
+
+def html(files: DataFrame, **options) -> DataFrame:
+    """doc_id, page_num, html: runs of glyphs as placed divisions, after a red one for each glyph."""
+    g = good(parse(files, "glyphs", **options)).withColumn("top", F.col("y"))
+    area: Column = (F.col("a") + F.col("c")) * (F.col("b") + F.col("d"))
+    shown = F.sqrt(F.greatest(area, F.lit(0.0))) * F.abs("size")
+    # runs follow the matrix, whose y grows upwards
+    runs = render.html_runs(g.withColumn("x", F.col("e")).withColumn("y", F.col("f")), ["doc_id", "page_num"], ["op_no", "glyph_no"])
+    single = runs.select("doc_id", "page_num", "run", F.lit(0).alias("kind"), "op_no", "glyph_no", F.regexp_replace(render.html_div(F.col("x"), F.col("top"), shown, F.lit("")), "absolute; left", "absolute; color: red; left").alias("div"), "text")
+    single = single.select("doc_id", "page_num", "run", "kind", "op_no", "glyph_no", F.concat(F.regexp_replace("div", "</div>\n$", ""), "text", F.lit("</div>")).alias("fragment"))
+    first = F.array_sort(F.collect_list(F.struct("op_no", "glyph_no", "text", "x", "top", shown.alias("shown"))))
+    joined = runs.groupBy("doc_id", "page_num", "run").agg(first.alias("gs"))
+    text = F.array_join(F.transform("gs", lambda x: x["text"]), "")
+    flushed = joined.where(F.length(text) > 0).select("doc_id", "page_num", "run", F.lit(1).alias("kind"), F.lit(0).alias("op_no"), F.lit(0).alias("glyph_no"), render.html_div(F.col("gs")[0]["x"], F.col("gs")[0]["top"], F.col("gs")[0]["shown"], text).alias("fragment"))
+    # a run is written when the next one's first glyph comes, before that glyph
+    numbered = single.withColumn("run", F.col("run") * 2).unionByName(flushed.withColumn("run", F.col("run") * 2 + 1))
+    bodies = _bodies(numbered, ["run", "kind", "op_no", "glyph_no"])
+    pages = good(parse(files, "pages", **options))
+    return pages.join(bodies, ["doc_id", "page_num"], "left").select("doc_id", "page_num", render.html_page(F.col("page_num"), F.col("urx") - F.col("llx"), F.col("ury") - F.col("lly"), F.coalesce("body", F.lit(""))).alias("html"))

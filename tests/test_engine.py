@@ -144,3 +144,15 @@ def test_queries_have_oracles():
     from foliospark.plans import catalog
 
     assert set(catalog.oracle_sql()) == set(catalog.queries()) <= set(e.queries())
+
+
+def test_rendered_pages(spark):
+    data = writer.document([b"0 0 10 20 re f BT /F1 12 Tf 72 720 Td (a b) Tj 0 -14 Td (c) Tj ET", b""], fonts={"F1": b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier >>"})
+    files = spark.createDataFrame([("p", data)], "path string, content binary")
+    one, two = pdf.svg(files).orderBy("page_num").collect()
+    assert "<path d='M0 0 L10 0 L10 20 L0 20 Z' />" in one["svg"] and "viewBox='0 0 612 792'" in two["svg"] and two["svg"].endswith("</g>\n</svg>")
+    one, two = pdf.html(files).orderBy("page_num").collect()
+    red = "<div style='position: absolute; color: red; left: {}px; top: {}px; font-size: 12px'>{}</div>"
+    run = "<div style='position: absolute; left: 72px; top: {}px; font-size: 12px'>{}</div>\n"
+    body = red.format("72", 72, "a") + red.format("79.2", 72, " ") + red.format("86.4", 72, "b") + run.format(72, "a b") + red.format("72", 86, "c") + run.format(86, "c")
+    assert body in one["html"] and two["html"].endswith("'></div>")

@@ -229,3 +229,24 @@ def test_tables_follow_their_codecs():
     names = tables.glyph_names()
     assert (names["eacute"], names["mu"], names["fi"], names["Omega"]) == (0xE9, 0xB5, 0xFB01, 0x2126)
     assert {names[n] for n in ("Aacute", "zcaron", "Ydieresis")} == {0xC1, 0x17E, 0x178}
+
+
+def test_paths_and_colour_spaces():
+    extra = [writer.stream(b"profile", b"/N 3"), b"<< /FunctionType 2 /Domain [0 1] /C0 [0 0 0 0] /C1 [0 1 1 0] /N 1 >>"]
+    spaces = b"/ColorSpace << /A [/ICCBased 3 0 R] /S [/Separation /Spot /DeviceCMYK 4 0 R] /G [/CalRGB << /WhitePoint [1 1 1] /Gamma [2 2 2] >>] /I [/Indexed /DeviceRGB 1 <00>] >>"
+    content = b"2 w 0.5 0 0 0.5 1 2 cm /A cs 1 0 0 sc 10 20 30 40 re f /S CS 0.25 SCN 0 0 m 1 1 l 1 2 3 4 v 5 6 7 8 y h S 9 9 m n /G cs 1 2 m f /I cs"
+    rows = list(_rows(writer.document([content], extra=extra, resources=spaces), "paths", b"", None, "compat"))
+    assert [(r[2], r[3], r[4], r[5]) for r in rows] == [("fill", "ICCBased", [1.0, 0.0, 0.0], 2.0), ("stroke", "Separation", [0.25], 2.0), ("fill", "CalRGB", [1.0, 0.0, 0.0], 2.0)]
+    assert rows[0][6:12] == (0.5, 0.0, 0.0, 0.5, 1.0, 2.0)
+    assert [(o["op"], o["args"]) for o in rows[1][12]] == [("M", [0.0, 0.0]), ("L", [1.0, 1.0]), ("C", [1.0, 1.0, 1.0, 2.0, 3.0, 4.0]), ("C", [5.0, 6.0, 7.0, 8.0, 7.0, 8.0]), ("Z", [])]
+    with pytest.raises(PdfError, match="missing"):
+        list(_rows(writer.document([b"/No cs"]), "paths", b"", None, "compat"))
+
+
+def test_sampled_functions_have_defaults():
+    from foliospark.pdf.color import function
+
+    data = writer.document([b"BT ET"], extra=[writer.stream(b"\x00\xff", b"/FunctionType 0 /Domain [0 1] /Range [0 1] /Size [2] /BitsPerSample 8")])
+    doc = Document(data)
+    f = function(doc, Lexer(b"3 0 R").next())
+    assert (f["encode"], f["decode"], f["samples"]) == ([0.0, 1.0], [0.0, 1.0], b"\x00\xff")
