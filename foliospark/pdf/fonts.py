@@ -7,7 +7,8 @@ import re
 from foliospark.functions import tables
 from foliospark.pdf.objects import Document, Lexer, Name, PdfError, Stream
 
-CONTROL = "FontAwesome"
+#: Fonts of icons: names that stand for no sign are let be.
+ICONS = "FontAwesome"
 
 
 def cmap(data: bytes) -> dict:
@@ -124,7 +125,7 @@ class Font:
                 if self.to_unicode is not None and self.subtype != "Type3":
                     if cp is not None:
                         self.to_unicode.setdefault(code, chr(cp))
-                    elif CONTROL in self.base:
+                    elif ICONS in self.base:
                         self.to_unicode.setdefault(code, "")
                 code += 1
             else:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import forms, render
 from foliospark.operators import segments as G
-from foliospark.sources.runtime import ship
+from foliospark.sources.runtime import ship, table
 
 #: Files of an Arrow batch: rows carry whole files.
 FILES_A_BATCH = 16
@@ -156,8 +156,9 @@ def errors(rows: DataFrame) -> DataFrame:
 
 
 def chunks(files: DataFrame, **options) -> DataFrame:
-    """Heading-aware chunks of files, after the form's text where there is a form."""
-    found = good(parse(files, "segments", **options))
+    """Heading-aware chunks of files, after the form's text where there is a form. Segments are written once, as
+    statistics and levels both read them and interpreting pages is what costs."""
+    found = table(good(parse(files, "segments", **options)), "segments")
     out = G.assemble(G.classify(found, G.doc_stats(found)))
     fields = good(parse(files, "fields", **options))
     return G.with_forms(out, forms.form_text(forms.states(fields)))
@@ -187,8 +188,9 @@ def svg(files: DataFrame, **options) -> DataFrame:
 
 
 def html(files: DataFrame, **options) -> DataFrame:
-    """doc_id, page_num, html: runs of glyphs as placed divisions, after a red one for each glyph."""
-    g = good(parse(files, "glyphs", **options)).withColumn("top", F.col("y"))
+    """doc_id, page_num, html: runs of glyphs as placed divisions, after a red one for each glyph. Glyphs are written
+    once, as runs are read twice."""
+    g = table(good(parse(files, "glyphs", **options)), "glyphs").withColumn("top", F.col("y"))
     area: Column = (F.col("a") + F.col("c")) * (F.col("b") + F.col("d"))
     shown = F.sqrt(F.greatest(area, F.lit(0.0))) * F.abs("size")
     # runs follow the matrix, whose y grows upwards
