@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import bpe, decontaminate, lines, neardup, toxicity
-from foliospark.sources.runtime import drop_scratch, scratch_path
+from foliospark.sources.runtime import drop_scratch, remove, scratch_path
 
 TOXIC = 0.5
 #: What the operators leave in the shared folder; a stage deletes that of the stages before it, whose output is written.
@@ -73,10 +73,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"pipeline-{k}", "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     _clear(spark)
     return docs
