@@ -3,12 +3,12 @@
 A document's set is its distinct shingles of so many words, hashed to 64 bits; with fewer words the whole sequence is
 one shingle. Equal sets are one class from the start. Of each class, BANDS x ROWS minima over permutations of the
 hashes are taken: classes that share a band's minima meet. The samples are folded into a parity bitmap, the odd
-sketch; the population count of two sketches' XOR estimates their similarity, and pairs far below the threshold go no
-further. What is left is confirmed on the full sets. A pair at the threshold misses all bands with a probability of
-(1 - 0.8 ** ROWS) ** BANDS, 3e-6.
+sketch; the population count of two sketches' XOR estimates their similarity, and pairs below the threshold go no
+further. A second bitmap folds the whole set, whose XOR tells small sets' differences almost exactly. What is left is confirmed on the full sets. A pair at the threshold misses all bands with a probability of
+(1 - 0.8 ** ROWS) ** BANDS, 8e-6; unrelated texts hardly ever meet.
 
-A bucket's pairs are not listed: ROUNDS times over, a bucket's members are held against one member, another each time
-and in each band, which joins all that are near; members that are still apart after these rounds are held against all
+A bucket's pairs are not listed: ROUNDS times over, a bucket's members are held against one member, first that which
+meets most others over all bands, as the original of copies does, then others, which joins all that are near; members that are still apart after these rounds are held against all
 others of their buckets that they are not joined to yet, so no link is lost. Links become components by
 rounds of smallest neighbours, on tables.
 
@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from foliospark.llm.lines import _join
 from foliospark.sources.runtime import ship, table
 
-ROWS, BANDS, SKETCH_BITS, ROUNDS, SEED = 5, 32, 2048, 3, 11
-#: An odd sketch of k samples errs by about 0.03 at 0.8; pairs are let go this far below the threshold.
-SLACK = 0.2
+ROWS, BANDS, SKETCH_BITS, ROUNDS, SEED = 8, 64, 2048, 3, 11
+#: An odd sketch of 512 samples errs by 0.02 at 0.8; pairs are let go this far below the threshold.
+SLACK = 0.1
+#: Members of a bucket that a task holds against as many.
+GRID = 2048
 
 _rng = np.random.default_rng(SEED)
 _MULTIPLY = (_rng.integers(0, 1 << 32, ROWS * BANDS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -80,13 +83,34 @@ def odd_sketch(samples: np.ndarray) -> bytes:
     return np.packbits(np.bincount(spots.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
 
 
-def least_agreement(threshold: float) -> int:
-    """The most bits in which two sketches may differ: what the estimate comes to at threshold - SLACK."""
+def whole_sketch(hashes: np.ndarray) -> bytes:
+    """The odd sketch of a set itself."""
+    return np.packbits(np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
+def most_differing(threshold: float) -> int:
+    """The most bits in which two sketches of samples may differ: what the estimate comes to at threshold - SLACK."""
     k = ROWS * BANDS
     apart = max(0.0, min(1.0, 1 - threshold + SLACK))
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * k * apart)))
 
 
+def most_differing_sets(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """The most bits in which sketches of sets may differ whose sizes add up to so much: the mean at the threshold and
+    five deviations. Sets too large for a sketch always pass."""
+    n, d = float(SKETCH_BITS), (1 - threshold) / (1 + threshold) * sizes
+    once, twice = np.exp(d * np.log1p(-2 / n)), np.exp(d * np.log1p(-4 / n))
+    spread = n / 4 * (1 - twice) + n * n / 4 * (twice - once * once)
+    return n / 2 * (1 - once) + 5 * np.sqrt(np.maximum(spread, 0)) + 1
+
+
+def agree(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether pairs of sketches, rows of both bitmaps, can belong to sets at the threshold."""
+    bits = np.bitwise_count(a ^ b)
+    half = bits.shape[1] // 2
+    return (bits[:, :half].sum(1) <= most_differing(threshold)) & (bits[:, half:].sum(1) <= most_differing_sets(sizes, threshold))
+
+
 def estimate(differing: int, n: int = SKETCH_BITS, k: int = ROWS * BANDS) -> float:
     """Similarity from the XOR's population count."""
     return 1 + n / (4 * k) * float(np.log(max(1e-9, 1 - 2 * differing / n)))
@@ -104,7 +128,7 @@ def _signer(size: int):
                     m = minima(s)
                     bands = [xxhash.xxh3_64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(m.reshape(BANDS, ROWS))]
                     whole = xxhash.xxh3_128_intdigest(s.tobytes())
-                    rows.append({"n": len(s), "set_a": (whole >> 64) - (1 << 63), "set_b": (whole & (1 << 64) - 1) - (1 << 63), "bands": bands, "sketch": odd_sketch(m)})
+                    rows.append({"n": len(s), "set_a": (whole >> 64) - (1 << 63), "set_b": (whole & (1 << 64) - 1) - (1 << 63), "bands": bands, "sketch": odd_sketch(m) + whole_sketch(s)})
                 else:
                     rows.append({"n": 0, "set_a": 0, "set_b": 0, "bands": [], "sketch": b""})
             yield pa.array(rows, kind)
@@ -121,14 +145,54 @@ def _sets(size: int):
     return sets
 
 
-def _differing():
-    @arrow_udf("int")
-    def differing(a: pa.Array, b: pa.Array) -> pa.Array:
-        # both of fixed length, so they lie one after the other
-        x = np.frombuffer(b"".join(a.to_pylist()), np.uint64) ^ np.frombuffer(b"".join(b.to_pylist()), np.uint64)
-        return pa.array(np.bitwise_count(x).reshape(len(a), -1).sum(1).astype(np.int32), pa.int32())
-
-    return differing
+def _close(threshold: int):
+    @arrow_udf("boolean")
+    def close(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) for v in (a, b))
+        sizes = na.to_numpy(zero_copy_only=False) + nb.to_numpy(zero_copy_only=False)
+        return pa.array(agree(x, y, sizes.astype(float), threshold / 100), pa.bool_())
+
+    return close
+
+
+def _agreeing(threshold: int):
+    """The pass over cells of buckets that lists pairs of different components whose sizes and sketches agree."""
+
+    def across(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, j = rows[0][2:4]
+        part, name, c, n = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[4:8])
+        sketch = np.frombuffer(b"".join(r[8] for r in rows), np.uint64).reshape(len(rows), -1)
+        bands = np.array([r[9] for r in rows], np.int64)
+        for k in range(len(rows) - 1):
+            y = slice(k + 1, None)
+            fits = (c[y] != c[k]) & (np.minimum(n[y], n[k]) * 100 >= np.maximum(n[y], n[k]) * threshold)
+            if i != j:
+                fits &= part[y] != part[k]
+            at = np.flatnonzero(fits) + k + 1
+            if len(at):
+                at = at[agree(sketch[at], sketch[k], (n[at] + n[k]).astype(float), threshold / 100)]
+                # in the first band alone that a pair shares
+                at = at[(bands[at] == bands[k]).argmax(1) == rows[0][0]] if len(at) else at
+                yield np.minimum(name[at], name[k]), np.maximum(name[at], name[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                for a, b in across(held):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            held.clear()
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:4] != row[:4]:
+                    yield from flush()
+                held.append(row)
+        yield from flush()
+
+    return run
 
 
 def components(links: DataFrame, tag: str = "neardup") -> DataFrame:
@@ -167,18 +231,20 @@ def classes(docs: DataFrame, *, size: int = 5, threshold: int = 80, tag: str = "
     named = table(member.where("n > 0").groupBy("set_a", "set_b").agg(F.min("key").alias("name")), "classes", tag)
     bands = signed.where("n > 0").join(named, ["set_a", "set_b"]).where("key = name").select("name", F.posexplode("bands").alias("band", "value")).distinct()
     bands = table(bands, "bands", tag)
-    crowd = bands.groupBy("band", "value").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    met = table(bands.join(crowd, ["band", "value"]), "buckets", tag)
-    some = met.select("name").distinct()
-    sketches = table(signed.join(named, ["set_a", "set_b"]).where("key = name").join(some, "name").select("name", "n", "sketch").dropDuplicates(["name"]), "sketches", tag)
-    known = table(texts.select(key.alias("name"), "text").join(sketches.select("name", "n"), "name").withColumn("set", _sets(size)(F.col("text"))).where(F.size("set") == F.col("n")).select("name", "set").dropDuplicates(["name"]), "sets", tag)
-    limit = least_agreement(threshold / 100)
+    crowd = table(bands.groupBy("band", "value").agg(F.count("*").alias("m")).where("m > 1"), "crowds", tag)
+    shared = _join(bands, crowd, ["band", "value"], "inner")
+    central = shared.groupBy("name").agg(F.sum("m").alias("central"))
+    met = table(shared.join(central, "name").join(signed.where("n > 0").groupBy("key").agg(F.max("n").alias("n")).withColumnRenamed("key", "name"), "name").select("band", "value", "name", "n", "central"), "buckets", tag)
+    some = table(met.select("name", "n").distinct(), "candidates", tag)
+    sketches = table(_join(signed.select(F.col("key").alias("name"), "n", "sketch", "bands"), some, ["name", "n"], "inner").dropDuplicates(["name"]), "sketches", tag)
+    picked = table(_join(texts.select(key.alias("name"), "text"), some, "name", "inner"), "texts", tag)
+    known = table(picked.withColumn("set", _sets(size)(F.col("text"))).where(F.size("set") == F.col("n")).select("name", "set").dropDuplicates(["name"]), "sets", tag)
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """Of distinct pairs (a, b) those whose sets are near enough."""
         side = lambda c: sketches.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
-        close = table(sized.withColumn("d", _differing()("sa", "sb")).where(F.col("d") <= limit).select("a", "b"), f"close-{name}", tag)
+        sized = pairs.join(side("a"), "a").join(side("b"), "b")
+        close = table(sized.where(_close(threshold)("sa", "sb", "na", "nb")).select("a", "b"), f"close-{name}", tag)
         full = lambda c: known.select(F.col("name").alias(c), F.col("set").alias(f"set{c}"))
         shared = F.size(F.array_intersect("seta", "setb"))
         exact = close.join(full("a"), "a").join(full("b"), "b").where(shared * 100 >= (F.size("seta") + F.size("setb") - shared) * threshold)
@@ -187,24 +253,30 @@ def classes(docs: DataFrame, *, size: int = 5, threshold: int = 80, tag: str = "
     links, joined = None, None
 
     def labelled() -> DataFrame:
-        return met.join(joined, met["name"] == joined["node"], "left").select("band", "value", "name", F.coalesce("component", "name").alias("c")) if joined is not None else met.withColumn("c", F.col("name"))
+        return met.join(joined, met["name"] == joined["node"], "left").withColumn("c", F.coalesce("component", "name")).drop("node", "component") if joined is not None else met.withColumn("c", F.col("name"))
+
+    # sets whose sizes differ more than this can't be near
+    alike = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * threshold
 
     for turn in range(ROUNDS):
         # the member that a bucket's others are held against: by hash, so that bands and rounds take different ones
         now = labelled()
-        order = F.xxhash64("name", "band", "value", F.lit(turn))
-        hubs = now.groupBy("band", "value").agg(F.min(F.struct(order.alias("o"), F.col("name").alias("hub"), F.col("c").alias("hc"))).alias("h")).select("band", "value", "h.hub", "h.hc")
-        pairs = now.join(hubs, ["band", "value"]).where("c != hc").select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b")).distinct()
+        order = F.xxhash64("name", "band", "value", F.lit(turn)) if turn else -F.col("central")
+        hubs = now.groupBy("band", "value").agg(F.min(F.struct(order.alias("o"), F.col("name").alias("hub"), F.col("c").alias("hc"), F.col("n").alias("hn"))).alias("h")).select("band", "value", "h.hub", "h.hc", "h.hn")
+        pairs = now.join(hubs, ["band", "value"]).where((F.col("c") != F.col("hc")) & alike(F.col("n"), F.col("hn"))).select(F.least("name", "hub").alias("a"), F.greatest("name", "hub").alias("b")).distinct()
         found = confirm(pairs, f"round-{turn}")
         links = found if links is None else links.union(found)
         joined = components(links, tag)
-    # buckets that still hold several components: their members are held against each other across these
+    # buckets that still hold several components: their members are held against each other across these, sketch by
+    # sketch, in a grid of parts; only pairs whose sketches agree are listed
     now = table(labelled(), "labelled", tag)
-    open_ = now.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("band", "value")
-    rest = now.join(open_, ["band", "value"])
-    left = rest.select("band", "value", F.col("name").alias("x"), F.col("c").alias("cx"))
-    right = rest.select("band", "value", F.col("name").alias("y"), F.col("c").alias("cy"))
-    pairs = left.join(right.hint("merge"), ["band", "value"]).where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    open_ = now.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / GRID).cast("int").alias("parts")).where("low != high").select("band", "value", "parts")
+    part = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
+    rest = now.join(open_, ["band", "value"]).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = _join(rest, sketches.select("name", "sketch", "bands"), "name", "inner")
+    cells = rest.select("band", "value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "name", "c", "n", "sketch", "bands")
+    cells = cells.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
+    pairs = cells.mapInArrow(_agreeing(threshold), "a long, b long").distinct()
     joined = components(links.union(confirm(pairs, "rest")), tag)
 
     whole = member.join(named, ["set_a", "set_b"], "left").join(joined, F.col("name") == F.col("node"), "left")
