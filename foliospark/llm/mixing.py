@@ -45,12 +45,21 @@ STARTS = np.cumsum([0, *(1 << t for t in TABLES)])
 PART, SLICE, STEP, HELD, TASK_BYTES = 1 << 16, 1 << 15, 1 << 12, 1_500_000, 32 << 20
 PRIOR, RIDGE, LEVELS, BINS, CLIP = 0.05, 4.0, 7, 33, 14.0
 GATES = 8 * 8 * LEVELS
+LEVEL_COUNTS = np.array([2, 8, 32, 256], np.float32)
 #: Tables travel as bytes, an eighth of a power of two a step; what a byte stands for.
 COUNTS = (2.0 ** (np.arange(256) / 8) - 1).astype(np.float32)
+_LOG, _LOG_LESS = (np.log(c + np.float32(PRIOR)).astype(np.float32) for c in (COUNTS, np.maximum(COUNTS - 1, 0)))
+#: Of a slot's pair of bytes, zeros below ones: log odds; these without a zero, or without a one; the sum of counts.
+_ZEROS, _ONES = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
+ODDS = _LOG[_ONES] - _LOG[_ZEROS]
+ODDS_LESS = np.concatenate([_LOG[_ONES] - _LOG_LESS[_ZEROS], _LOG_LESS[_ONES] - _LOG[_ZEROS]])
+SUMS = COUNTS[_ZEROS] + COUNTS[_ONES]
 
 
-def _coded(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(8 * np.log2(1 + n)), 255).astype(np.uint8)
+def coded(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Counts as pairs of bytes."""
+    a, b = (np.minimum(np.rint(8 * np.log2(1 + n)), 255).astype(np.uint16) for n in (zeros, ones))
+    return a | b << 8
 
 #: Classes of texts, documents that they are found in, counts that tell them apart.
 CLASSES, SAMPLE, FEATURES, SEED = 8, 4096, 1024, 5
@@ -83,13 +92,13 @@ def _centres(docs: DataFrame) -> np.ndarray:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.bincount(_hashes(words_of(t)), minlength=FEATURES).astype("<f4").tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["x"])
+            rows = [np.bincount(_hashes(words_of(t)), minlength=FEATURES).astype("<f4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "x"])
 
     chosen = docs.where(learning & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # SAMPLE ids: a proven bound, as for the rows of FEATURES numbers
-    texts = docs.join(F.broadcast(chosen.distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text")
-    rows = texts.mapInArrow(features, "x binary").collect()
+    texts = docs.join(F.broadcast(chosen.distinct()), "doc_id").selectExpr("cast(doc_id as long) as doc_id", "text")
+    rows = texts.mapInArrow(features, "doc_id long, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(SAMPLE).collect()
     x = np.array([np.frombuffer(r["x"], "<f4") for r in rows]).reshape(-1, FEATURES)
     x = x[x.sum(1) > 0]
     if not len(x):
@@ -177,17 +186,18 @@ class Mixer:
     def new() -> Mixer:
         return Mixer(np.full((GATES, ORDERS), 0.35, np.float32), np.zeros((2, (CLASSES + 1) * LEVELS * BINS)))
 
-    def odds(self, slots: np.ndarray, zeros: np.ndarray, ones: np.ndarray, place: np.ndarray, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def odds(self, slots: np.ndarray, pairs: np.ndarray, place: np.ndarray, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Contexts' log odds, gates and mixed log odds; bits, if given, are taken out of the counts first."""
-        n0, n1 = COUNTS[zeros[slots]], COUNTS[ones[slots]]
-        if bits is not None:
-            n0, n1 = np.maximum(n0 - (1 - bits), 0), np.maximum(n1 - bits, 0)
-        x = np.log(n1 + np.float32(PRIOR)) - np.log(n0 + np.float32(PRIOR))
+        c = pairs[slots]
+        x = ODDS[c] if bits is None else ODDS_LESS[c + bits.astype(np.int32) * (1 << 16)]
         # how well the whole word so far is known, or else whether its last four bytes are
-        n = n0[4] + n1[4]
-        level = np.where(n > 0, 2 + np.searchsorted(np.array([2, 8, 32, 256], np.float32), n, "right"), n0[3] + n1[3] > 0).astype(np.int64)
+        whole, four = (SUMS[c[k]] - (bits is not None) for k in (4, 3))
+        level = np.where(whole > 0.5, 2 + np.searchsorted(LEVEL_COUNTS, whole, "right"), four > 0.5).astype(np.int64)
         gate = place * LEVELS + level
-        return x, gate, np.clip(np.einsum("kn,nk->n", x, self.weights[gate]), -CLIP, CLIP)
+        z = np.zeros(len(gate), np.float32)
+        for k in range(ORDERS):
+            z += x[k] * self.weights[:, k][gate]
+        return x, gate, np.clip(z, -CLIP, CLIP)
 
     def bins(self, z: np.ndarray, gate: np.ndarray, cls: np.ndarray) -> np.ndarray:
         return (cls * LEVELS + gate % LEVELS) * BINS + np.rint((z / CLIP + 1) / 2 * (BINS - 1)).astype(np.int64)
@@ -199,11 +209,11 @@ class Mixer:
         p = (p + (n1 + p * 20) / (n0 + n1 + 20)) / 2
         return np.clip(p, 1e-7, 1 - 1e-7)
 
-    def learn(self, items: list[bytes], weights: np.ndarray, zeros: np.ndarray, ones: np.ndarray, curves: np.ndarray) -> None:
+    def learn(self, items: list[bytes], weights: np.ndarray, pairs: np.ndarray, curves: np.ndarray) -> None:
         """A step for each slice: Newton's for each gate, by the curvature of all slices so far."""
         for item, slots, bits, place, cls in _slices(items, STEP):
             w = weights[item].astype(np.float32)
-            x, gate, z = self.odds(slots, zeros, ones, place, bits)
+            x, gate, z = self.odds(slots, pairs, place, bits)
             p = 1 / (1 + np.exp(-z))
             np.add.at(self.seen[1], b := self.bins(z, gate, cls), w * bits)
             np.add.at(self.seen[0], b, w * (1 - bits))
@@ -218,11 +228,11 @@ class Mixer:
             step = np.linalg.solve(curves[used], slope[used][:, :, None])[:, :, 0]
             self.weights[used] += np.clip(step, -0.5, 0.5).astype(np.float32)
 
-    def score(self, items: list[bytes], zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    def score(self, items: list[bytes], pairs: np.ndarray) -> np.ndarray:
         """log10 probabilities of items, given their classes."""
         out = np.zeros(len(items))
         for item, slots, bits, place, cls in _slices(items):
-            _, gate, z = self.odds(slots, zeros, ones, place)
+            _, gate, z = self.odds(slots, pairs, place)
             p = self.refined(z, self.bins(z, gate, cls))
             out += np.bincount(item, np.log10(np.where(bits > 0, p, 1 - p)), len(items))
         return out
@@ -310,23 +320,23 @@ def fit(parts: DataFrame, vocabulary: DataFrame) -> Model:
                 else:
                     held[part] = [a.copy(), b.copy()]
         for part, (a, b) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([W.pack(_coded(a), _coded(b))], pa.binary())], names=["part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([W.pack(coded(a, b).astype("<u2"))], pa.binary())], names=["part", "data"])
 
     sums = table(packed.mapInArrow(counted, "part int, data binary").repartition("part").mapInArrow(added, "part int, data binary"), "mixing-tables")
-    zeros, ones = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)
-    for r in sums.toLocalIterator():  # parts of tables of a fixed size
+    pairs = np.zeros(slots, np.uint16)
+    for r in sums.collect():  # parts of tables of a fixed size
         at = r["part"] * PART
-        zeros[at : at + PART], ones[at : at + PART] = W.unpack(bytes(r["data"]))
-    sent = spark.sparkContext.broadcast((zeros, ones))
+        (pairs[at : at + PART],) = W.unpack(bytes(r["data"]))
+    sent = spark.sparkContext.broadcast(pairs)
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, o = sent.value
+        pairs = sent.value
         m, total, sums = Mixer.new(), 0.0, np.zeros((2, CLASSES + 1))
         curves = np.tile(np.eye(ORDERS) * RIDGE, (GATES, 1, 1))
         for words, counts in _read(batches):
             # in an order that has nothing to do with the alphabet
             mixed = np.random.default_rng(len(words)).permutation(len(words))
-            m.learn([words[i] for i in mixed.tolist()], counts[mixed], z, o, curves)
+            m.learn([words[i] for i in mixed.tolist()], counts[mixed], pairs, curves)
             total += counts.sum()
             cls = np.fromiter((w[0] for w in words), np.int64, len(words))
             sums += [np.bincount(cls, counts, CLASSES + 1), np.bincount(cls, minlength=CLASSES + 1)]
@@ -334,7 +344,7 @@ def fit(parts: DataFrame, vocabulary: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([W.pack(m.weights.ravel(), m.seen.ravel(), sums.ravel())], pa.binary())], names=["total", "data"])
 
     # a row a task: a few kilobytes each
-    mixers = [(r["total"], *W.unpack(bytes(r["data"]))) for r in packed.mapInArrow(learnt, "total double, data binary").toLocalIterator()]
+    mixers = [(r["total"], *W.unpack(bytes(r["data"]))) for r in packed.mapInArrow(learnt, "total double, data binary").collect()]
     m = Mixer.new()
     if mixers:
         m.weights = (sum(t * w for t, w, _, _ in mixers) / sum(t for t, _, _, _ in mixers)).astype(np.float32).reshape(GATES, ORDERS)
@@ -393,7 +403,7 @@ def _answers(sent: Broadcast, rows: Iterator[tuple]) -> Iterator[tuple]:
             known.clear()
             new = words
         if new:
-            bits = model.mixer.score(new, *model.tables.value)
+            bits = model.mixer.score(new, model.tables.value)
             cls = np.fromiter((w[0] for w in new), np.int64, len(new))
             mine, whole = (np.fromiter((d.get(w, 0) for w in x), float, len(new)) for d, x in ((own, new), (counts, [w[1:] for w in new])))
             known.update(zip(new, model.interpolated(bits, cls, mine, whole).tolist(), strict=True))

@@ -41,9 +41,9 @@ def test_probabilities_of_tokens_do_not_exceed_one():
     zeros, ones = (np.zeros(int(M.STARTS[-1]), np.float32) for _ in range(2))
     M.count(items, weights, zeros, ones)
     m = M.Mixer.new()
-    coded = M._coded(zeros), M._coded(ones)
-    m.learn(items, weights, *coded, np.tile(np.eye(M.ORDERS) * M.RIDGE, (M.GATES, 1, 1)))
-    p = 10 ** m.score([*items, b"\x00new", b"\x00thenx"], *coded)
+    pairs = M.coded(zeros, ones)
+    m.learn(items, weights, pairs, np.tile(np.eye(M.ORDERS) * M.RIDGE, (M.GATES, 1, 1)))
+    p = 10 ** m.score([*items, b"\x00new", b"\x00thenx"], pairs)
     assert 0 < p.sum() <= 1 + 1e-9
     assert p[0] > p[5] > p[7]
 
