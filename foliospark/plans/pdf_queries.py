@@ -22,7 +22,9 @@ def files(s: SparkSession, d: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([from_text(t or "", title=f"document {i}") for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.binary())], names=["path", "content"])
 
-    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), "text").mapInArrow(write, "path long, content binary")
+    # interpreting costs far more than moving texts, so they are dealt evenly whatever the table's files are
+    texts = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), "text").repartition(s.sparkContext.defaultParallelism)
+    return texts.mapInArrow(write, "path long, content binary")
 
 
 def _parsed(s: SparkSession, d: str, what: str) -> DataFrame:
