@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare words.
 
 The templates' rare words are indexed: word to (template, position). A pass over all documents counts in how
-many of them each indexed word stands. Then each document's RARE words of highest IDF are looked up; a posting votes
+many of them each indexed word stands. Then each document's indexed words are looked up, all of them; a posting votes
 with its IDF for (template, place of the template's start), and a template's coverage is its best place's share of what
 its own words could give. A template is found at coverage LEAST or more if its mandatory phrase stands in the text.
 
@@ -39,7 +39,7 @@ INDEXED = "apache binary documentation gnu granted hereby lesser license license
 #: What every indexed word holds one of: texts without any are not taken apart.
 NEEDLES = "apache binary documentation gnu granted hereby lesser licens modification mozilla permission redistribution released reserved rights software unencumbered version".split()
 
-RARE, LEAST = 12, 0.75
+LEAST = 0.75
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -104,15 +104,12 @@ def scan(docs: DataFrame, *, text: str = "text", into: str = "license") -> DataF
     starts = F.when(F.col("__license") & column.rlike(any_base), starts).otherwise(F.expr("cast(array() as array<int>)"))
     base = F.filter(F.array(*(F.when(column.rlike(f"(?i){phrase(p)}"), F.lit(label)) for label, p in BASE.items())), lambda x: x.isNotNull())
 
-    # votes: indexed words of highest IDF, each posting for (template, start), as one number
-    order = {w: i for i, w in enumerate(sorted(POSTINGS, key=lambda w: (-idf[w], w)))}
-    ranks = F.create_map(*(x for w, i in order.items() for x in (F.lit(w), F.lit(i))))
+    # votes: every indexed word of the text, each posting for (template, start)
     weights = F.create_map(*(x for w in POSTINGS for x in (F.lit(w), F.lit(idf[w]))))
     postings = F.create_map(*(x for w, p in POSTINGS.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in p)))))
     asked = asked.withColumn("__hits", F.when(F.col("__holds"), _hits(column)).otherwise(F.expr("cast(array() as array<struct<word:string,at:int>>)")))
     hits = F.col("__hits")
-    rare = F.slice(F.array_sort(F.array_distinct(F.transform(hits, lambda h: ranks[h["word"]]))), 1, RARE)
-    votes = F.flatten(F.transform(F.filter(hits, lambda h: F.array_contains(rare, ranks[h["word"]])), lambda h: F.transform(postings[h["word"]], lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["at"]).alias("start"), weights[h["word"]].alias("w")))))
+    votes = F.flatten(F.transform(hits, lambda h: F.transform(postings[h["word"]], lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["at"]).alias("start"), weights[h["word"]].alias("w")))))
     zeros = F.array(*(F.lit(0.0) for _ in TEMPLATES))
     zero = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("start"), F.lit(0.0).alias("sum"), zeros.alias("best"))
 

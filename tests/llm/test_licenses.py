@@ -56,3 +56,12 @@ def test_empty_table_and_clashing_column(spark):
     assert L.scan(docs).count() == 0
     docs = spark.createDataFrame([(1, "MIT License", 5)], "doc_id long, text string, license int")
     assert L.scan(docs).collect()[0]["license"]["base"] == ["mit"]
+
+
+def test_all_licences_of_a_notices_file_are_found(spark):
+    """Every template in one text, the rare words of which outnumber any fixed choice of them."""
+    notices = "\n\n".join(f"Third-party notice {n}:\n{t}." for n, (t, _) in enumerate(L.TEMPLATES.values()))
+    # other texts make some words common
+    docs = spark.createDataFrame([(0, notices), *((n, "license licensed version gnu software") for n in range(1, 40))], "doc_id long, text string")
+    x = L.scan(docs).where("doc_id = 0").collect()[0]["license"]
+    assert {t["label"]: t["coverage"] for t in x["templates"]} == {label: 1.0 for label in L.TEMPLATES}
