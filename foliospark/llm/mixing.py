@@ -8,8 +8,8 @@ ones refines the outcome. Slots blur rare words, so exact counts of words, by cl
 what is new to the bits (Witten-Bell). So the bits of a text, and bits per byte, add up from its words.
 
 The class of a text so far is the nearest of CLASSES centres of word counts, by the words before; so a text's language
-or subject tells as it goes on. Centres, like hash functions, only say which contexts there are; they are fitted on
-the SAMPLE learning documents whose ids hash lowest.
+or subject tells as it goes on. Centres, like hash functions, only say which contexts there are; they are fitted on all
+learning documents, a pass over their packed word counts for each seed and each round.
 
 Learning: counts are over all learning documents. They are gathered once a distinct word of a block of documents, then
 once a distinct word, weighted by how often it stands. Weights learn online, in small batches of words, each bit
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import words as W
-from foliospark.sources.runtime import plan_bytes, ship, table
+from foliospark.sources.runtime import drop_scratch, plan_bytes, ship, table
 
 #: Slots, as powers of two: one byte, two, three, four, whole word, whole word with the class before.
 TABLES = (16, 19, 20, 21, 22, 22)
@@ -61,8 +61,8 @@ def coded(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     a, b = (np.minimum(np.rint(8 * np.log2(1 + n)), 255).astype(np.uint16) for n in (zeros, ones))
     return a | b << 8
 
-#: Classes of texts, documents that they are found in, counts that tell them apart.
-CLASSES, SAMPLE, FEATURES, SEED = 8, 4096, 1024, 5
+#: Classes of texts, counts that tell them apart, rounds of fitting.
+CLASSES, FEATURES, ROUNDS, SEED = 8, 1024, 15, 5
 
 END = b" "
 _PREFIX = [bytes([c]) for c in range(CLASSES + 1)]
@@ -92,31 +92,81 @@ def _centres(docs: DataFrame) -> np.ndarray:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.bincount(_hashes(words_of(t)), minlength=FEATURES).astype("<f4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "x"])
-
-    chosen = docs.where(learning & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    # SAMPLE ids: a proven bound, as for the rows of FEATURES numbers
-    texts = docs.join(F.broadcast(chosen.distinct()), "doc_id").selectExpr("cast(doc_id as long) as doc_id", "text")
-    rows = texts.mapInArrow(features, "doc_id long, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(SAMPLE).collect()
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in rows]).reshape(-1, FEATURES)
-    x = x[x.sum(1) > 0]
-    if not len(x):
+            at, n = [], []
+            for t in b.column(0).to_pylist():
+                counts = np.bincount(_hashes(words_of(t)), minlength=FEATURES)
+                if len(some := np.flatnonzero(counts)):
+                    at.append(some.astype("<u2"))
+                    n.append(counts[some].astype("<u4"))
+            if at:
+                blob = W.pack(np.fromiter(map(len, at), "<u4", len(at)), np.concatenate(at), np.concatenate(n))
+                yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int32()), pa.array([blob], pa.binary())], names=["texts", "data"])
+
+    spark = docs.sparkSession
+    packed = table(docs.where(learning & F.col("text").isNotNull()).select("text").mapInArrow(features, "texts int, data binary"), "mixing-features", "mixing-features")
+    total = packed.agg(F.sum("texts")).first()[0] or 0
+    if not total:
         return np.zeros((0, FEATURES))
-    unit = np.sqrt(x / x.sum(1, keepdims=True))
-    rng = np.random.default_rng(SEED)
-    c = unit[[rng.integers(len(unit))]]
-    while len(c) < min(CLASSES, len(unit)):
-        far = np.maximum(1 - (unit @ c.T).max(1), 1e-12)
-        c = np.concatenate([c, unit[[rng.choice(len(unit), p=far / far.sum())]]])
-    for _ in range(15):
-        near = (unit @ c.T).argmax(1)
-        c = np.stack([unit[near == k].mean(0) if (near == k).any() else c[k] for k in range(len(c))])
+
+    c = np.zeros((0, FEATURES))
+    while len(c) < min(CLASSES, total):
+        # the text of the least key is drawn with a chance in proportion to its distance; a row a task
+        key, data = min(tuple(r) for r in packed.select("data").mapInArrow(partial(_drawn, c), "key double, data binary").collect())
+        at, n = W.unpack(bytes(data))
+        c = np.concatenate([c, np.zeros((1, FEATURES))])
+        c[-1, at] = np.sqrt(n / n.sum())
+    for _ in range(ROUNDS):
+        # a row a task: sums of CLASSES x FEATURES numbers
+        rows = [W.unpack(bytes(r["data"])) for r in packed.select("data").mapInArrow(partial(_summed, c), "data binary").collect()]
+        units, counts, texts = (sum(x[i] for x in rows).reshape(len(c), -1) for i in range(3))
+        c = np.where(texts > 0, units / np.maximum(texts, 1), c)
         c /= np.linalg.norm(c, axis=1, keepdims=True)
-    rates = np.stack([x[near == k].sum(0) for k in range(len(c))]) + 0.5
+    drop_scratch(spark, "mixing-features")
+    rates = counts + 0.5
     return np.log(rates / rates.sum(1, keepdims=True))
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of packed texts: lengths, starts, features, counts and unit coordinates."""
+    for b in batches:
+        for data in b.column(0).to_pylist():
+            lengths, at, n = W.unpack(data)
+            starts = np.cumsum(lengths, dtype=np.int64) - lengths
+            yield lengths, starts, at, n, np.sqrt(n / np.repeat(np.add.reduceat(n, starts, dtype=np.float64), lengths))
+
+
+def _near(c: np.ndarray, starts: np.ndarray, at: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    return np.stack([np.add.reduceat(unit * centre[at], starts) for centre in c])
+
+
+def _drawn(c: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of the least key, a hash of its counts as an exponential of its distance from the centres."""
+    best: tuple[float, bytes] | None = None
+    for lengths, starts, at, n, unit in _texts(batches):
+        far = np.maximum(1 - _near(c, starts, at, unit).max(0), 1e-12) if len(c) else np.ones(len(starts))
+        ends = (starts + lengths).tolist()
+        hashed = (crc32(n[a:e], crc32(at[a:e], SEED + len(c))) for a, e in zip(starts.tolist(), ends, strict=True))
+        keys = -np.log((np.fromiter(hashed, np.float64, len(starts)) + 0.5) / 2**32) / far
+        for i in np.flatnonzero(keys == keys.min()).tolist():
+            found = float(keys[i]), W.pack(at[starts[i] : ends[i]], n[starts[i] : ends[i]])
+            best = found if best is None else min(best, found)
+    if best:
+        yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["key", "data"])
+
+
+def _summed(c: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the texts nearest to each centre: sums of units and of counts, and how many they are."""
+    units, counts, texts = np.zeros(c.size), np.zeros(c.size), np.zeros(len(c))
+    for lengths, starts, at, n, unit in _texts(batches):
+        near = _near(c, starts, at, unit).argmax(0)
+        place = np.repeat(near * FEATURES, lengths) + at
+        units += np.bincount(place, unit, c.size)
+        counts += np.bincount(place, n, c.size)
+        texts += np.bincount(near, minlength=len(c))
+    if texts.any():
+        yield pa.RecordBatch.from_arrays([pa.array([W.pack(units, counts, texts)], pa.binary())], names=["data"])
+
+
 def learns(doc_id: int | None) -> int:
     return int(crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1)
 

@@ -4,6 +4,7 @@ import random
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from foliospark.llm import mixing as M
 from foliospark.llm import words as W
@@ -54,3 +55,11 @@ def test_nothing_to_learn_from(spark):
     for r in M.score(docs).collect():
         assert r["held_out"] and r["train_tokens"] == 0 and r["base_score"] == 0.0 and math.isclose(r["bits_per_byte"], 8.0, rel_tol=1e-6)
     assert M.score(docs.limit(0)).count() == 0
+
+
+def test_centres_are_fitted_on_all_learning_documents(spark):
+    ids = spark.range(8000).orderBy(F.xxhash64("id"), "id").collect()
+    ids = [r["id"] for r in ids if M.learns(r["id"])]
+    docs = spark.createDataFrame([(i, "apple pear" if n < 5000 else "zebra") for n, i in enumerate(ids)], "doc_id long, text string")
+    place = M._hashes([b"zebra"])[0]
+    assert np.exp(M._centres(docs)[:, place]).max() > 0.4
