@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.sources.runtime import table
+
 # fixed values: flag bits of fields
 READONLY, REQUIRED, RADIO, PUSH, COMBO, EDIT, MULTI = 1, 2, 1 << 15, 1 << 16, 1 << 17, 1 << 20, 1 << 21
 
@@ -60,13 +62,17 @@ def form_text(states_: DataFrame) -> DataFrame:
     return states_.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "").alias("paragraph"))
 
 
-def breadth_first(nodes: DataFrame, levels: int = 16) -> DataFrame:
+def breadth_first(nodes: DataFrame) -> DataFrame:
     """node, n: the order of a walk by levels over nodes (node, parent, at: place among the parent's kids): by depth,
-    then by the parents' order. Levels are joined one by one; forms are as deep as they are nested."""
-    level = nodes.where("parent is null").select("node", F.array(F.col("at").cast("long")).alias("path"))
-    out = level
-    for _ in range(levels - 1):
+    then by the parents' order. Levels are joined one by one, until one is empty; forms are as deep as they are nested.
+    A level deeper than there are nodes tells of a cycle, which is an error."""
+    level = table(nodes.where("parent is null").select("node", F.array(F.col("at").cast("long")).alias("path")), "levels")
+    out, left = level, nodes.count()
+    while not level.isEmpty():
+        if left == 0:
+            raise ValueError("nodes form a cycle")
+        left -= 1
         up = level.select(F.col("node").alias("parent"), F.col("path").alias("above"))
-        level = nodes.join(up, "parent").select("node", F.concat("above", F.array(F.col("at").cast("long"))).alias("path"))
+        level = table(nodes.join(up, "parent").select("node", F.concat("above", F.array(F.col("at").cast("long"))).alias("path")), "levels")
         out = out.unionByName(level)
     return out.select("node", (F.size("path") - 1).alias("depth"), "path")

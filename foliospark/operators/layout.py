@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.sources.runtime import table
+
 
 def _running(by: list[str], order: list) -> tuple:
     w = Window.partitionBy(*by).orderBy(*order)
@@ -88,13 +90,15 @@ def depth(ops: DataFrame, by: list[str], order: list) -> DataFrame:
     return summed.withColumn("depth", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(upto))).drop("__sum")
 
 
-def inherited(nodes: DataFrame, levels: int = 32) -> DataFrame:
+def inherited(nodes: DataFrame) -> DataFrame:
     """node, value of nodes (node, parent, value): the nearest value up the parents, by pointer doubling: as many
-    rounds as the logarithm of the depth. Cycles end after `levels` rounds."""
-    state = nodes.select("node", "parent", "value")
-    steps = max(1, levels.bit_length() - 1)
-    for _ in range(steps):
+    rounds as the logarithm of the depth. A cycle without a value leaves null: no chain needs more rounds than the
+    logarithm of the number of nodes."""
+    state = table(nodes.select("node", "parent", "value"), "inherited")
+    for _ in range(state.count().bit_length()):
+        if state.where("value is null and parent is not null").isEmpty():
+            break
         up = state.select(F.col("node").alias("parent"), F.col("parent").alias("grand"), F.col("value").alias("above"))
         joined = state.join(up, "parent", "left")
-        state = joined.select("node", F.when(F.col("value").isNull(), F.col("grand")).alias("parent"), F.coalesce("value", "above").alias("value"))
+        state = table(joined.select("node", F.when(F.coalesce("value", "above").isNull(), F.col("grand")).alias("parent"), F.coalesce("value", "above").alias("value")), "inherited")
     return state.select("node", "value")

@@ -94,6 +94,17 @@ def test_inherited_values_up_a_long_chain(spark):
     assert {r["value"] for r in layout.inherited(nodes).collect()} == {7}
 
 
+def test_deep_trees_are_walked_to_the_end(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, 7 if i == 0 else None, 0) for i in range(70)], "node long, parent long, value long, at int")
+    assert {r["value"] for r in layout.inherited(nodes).collect()} == {7}
+    assert sorted((r["node"], r["depth"]) for r in forms.breadth_first(nodes.where("node < 20")).collect()) == [(i, i) for i in range(20)]
+
+
+def test_cycle_without_a_value_ends(spark):
+    nodes = spark.createDataFrame([(1, 2, None), (2, 3, None), (3, 1, None)], "node long, parent long, value long")
+    assert [r["value"] for r in layout.inherited(nodes).collect()] == [None] * 3
+
+
 def test_form_states(spark):
     rows = [("d", 0, "Btn", 65536, "b", ["On"], ["x"]), ("d", 1, "Btn", 1, None, ["Yes"], []), ("d", 2, "Ch", 2097152, "l", ["a", "b"], ["a", "b"]), ("d", 3, "Tx", 2, "t", [], []), ("d", 4, "Sig", None, "s", [], [])]
     fields = spark.createDataFrame(rows, "doc_id string, n int, ft string, ff int, name string, values array<string>, options array<string>")
