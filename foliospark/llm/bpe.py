@@ -110,7 +110,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         steps, lengths, ids = W.unpack(data)
         held.append((np.cumsum(steps, dtype=np.int64), lengths.astype(np.int64), ids.astype(np.int32)))
 
-    def finish(held: list, doc_id: int | None, _: int, ranks: np.ndarray) -> tuple:
+    def finish(held: list, doc_id: int | None, _: int, ranks: np.ndarray, __: np.ndarray) -> tuple:
         if len(held) > 1 or held and len(held[0]) == 3:
             # the block's words are complete: each word's ids, by rank, in one array
             words, lengths, ids = (np.concatenate([x[i] for x in held]) for i in range(3))

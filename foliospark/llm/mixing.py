@@ -1,31 +1,33 @@
-"""Scores of texts by logistic context mixing.
-
-A text is its words, lower-cased, and one end. A word is coded byte by byte with a closing space, the end as a space
-alone, and each bit is predicted from hashed contexts: the last one to four bytes of the word, all of its bytes, and
-these with the class of the text so far. Contexts hold counts of zeros and ones; their log odds are mixed by weights
-that a gate picks (place in the word, bit, how well the word so far is known), and a map from mixed odds to observed
-ones refines the outcome. Slots blur rare words, so exact counts of words, by class and in all, come first and leave
-what is new to the bits (Witten-Bell). So the bits of a text, and bits per byte, add up from its words.
-
-The class of a text so far is the nearest of CLASSES centres of word counts, by the words before; so a text's language
-or subject tells as it goes on. Centres, like hash functions, only say which contexts there are; they are fitted on all
-learning documents, a pass over their packed word counts for each seed and each round.
-
-Learning: counts are over all learning documents. They are gathered once a distinct word of a block of documents, then
-once a distinct word, weighted by how often it stands. Weights learn online, in small batches of words, each bit
-predicted from counts without its own occurrence; tasks learn side by side and their weights are averaged, each by
-the tokens it saw. Slots are TABLES in number whatever the input; words that share slots blur each other.
-Since contexts reach beyond a word by the class alone, a word's code length is worked out once for each class.
-
-Null and empty texts are an end alone. A null id counts as an empty one in the split. Repeated rows are learnt and
-scored each. Columns other than the two named are not read. With nothing to learn from, bits cost one each.
+"""Scores of texts by online logistic context mixing.
+
+A text is a stream of bytes: its words, lower-cased, each closed by a space, and one more space as its end. A byte is
+coded by the bits of a Huffman code that the byte before picks, fitted to the learning documents, which takes less than
+half as many bits as plain bytes do. Each bit is predicted in each of CONTEXTS: the last three and five bytes, also
+across words; the word so far with the last sign outside ASCII before it, a hint at the language; the word so far with
+the word before. A context's hash and the place in the code pick a slot with counts of
+zeros and ones. The contexts' log odds are mixed by weights that a gate picks (how well the word and its sequence are
+known, depth in the code), and a map from mixed to observed odds refines the outcome.
+
+Learning is online: a task reads its texts once, predicts each bit by what it has counted so far, moves the weights
+and the map, and counts the bits. Tables of the tasks are added, so they hold all learning documents; weights and maps
+are averaged, each by the bits it saw. Scoring is online too: counts stay, but each text has weights and a map of its
+own, which start as learnt and move after every CHUNK bytes of it. So a text's score depends on the model and the text
+alone. Texts are worked off side by side, step by step, in arrays; the bits of all of them are predicted one by one.
+
+What is gathered: the counts of all tokens, exact, and the slots, whose number grows with the learning documents (see
+slot_bits) up to what a Python worker can hold; beyond that, contexts share slots and blur, but all are counted.
+
+Null and empty texts are an end alone. Very long texts are read in pieces of PIECE bytes; contexts of a piece reach
+BEHIND bytes back, the text's weights go on. A null id counts as an empty one in the split. Repeated rows are learnt
+and scored each. Ties can't arise. Columns other than the two named are not read. With nothing to learn from, bytes
+cost eight bits each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 from zlib import crc32
 
 import numpy as np
@@ -35,278 +37,410 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import words as W
-from foliospark.sources.runtime import drop_scratch, plan_bytes, ship, table
-
-#: Slots, as powers of two: one byte, two, three, four, whole word, whole word with the class before.
-TABLES = (16, 19, 20, 21, 22, 22)
-ORDERS = len(TABLES)
-STARTS = np.cumsum([0, *(1 << t for t in TABLES)])
-#: Slots of a packed part; bytes worked on at once, and in a step of learning; words a task remembers; bytes of packed words a learning task takes.
-PART, SLICE, STEP, HELD, TASK_BYTES = 1 << 16, 1 << 15, 1 << 12, 1_500_000, 32 << 20
-PRIOR, RIDGE, LEVELS, BINS, CLIP = 0.05, 4.0, 7, 33, 14.0
-GATES = 8 * 8 * LEVELS
-LEVEL_COUNTS = np.array([2, 8, 32, 256], np.float32)
-#: Tables travel as bytes, an eighth of a power of two a step; what a byte stands for.
+from foliospark.sources.runtime import ship, table
+
+CONTEXTS = ("three bytes", "five bytes", "word after hint", "word after word")
+ORDERS = len(CONTEXTS)
+#: Slots of the first contexts, as powers of two, at most; of all contexts at least and at most, see slot_bits(): at
+#: most, a learning task's tables take 400 MB.
+FEW_BITS, LEAST_BITS, MOST_BITS, PLENTY = (20,), 16, 24, 1 << 20
+#: Slots of a packed part; text that a learning task counts before it predicts on; bits of a step of learning; text
+#: that is scored side by side; input of a learning task, in bytes of files.
+PART, LEARN_BYTES, BATCH, SCORE_BYTES, TASK_BYTES = 1 << 16, 1 << 15, 1 << 12, 1 << 19, 20 << 20
+PIECE, BEHIND, CHUNK = 1 << 18, 256, 32
+PRIOR, CLIP, BINS = 0.05, 12.0, 33
+#: How well the word so far is known, its sequence too; depths in the code.
+KNOWN, FOLLOWED, DEPTHS = np.array([0.5, 2.5, 8.5, 40.5], np.float32), np.array([0.5, 2.5], np.float32), 3
+LEVELS = (len(KNOWN) + 1) * (len(FOLLOWED) + 1)
+GATES = LEVELS * DEPTHS
+#: Rates of learning: of weights, then of a text's own weights and map.
+RATE, OWN_RATE, INERTIA, LITTLE = 0.02, 0.002, 50.0, 0.02
+#: Counts travel as bytes, an eighth of a power of two a step; what a byte stands for.
 COUNTS = (2.0 ** (np.arange(256) / 8) - 1).astype(np.float32)
-_LOG, _LOG_LESS = (np.log(c + np.float32(PRIOR)).astype(np.float32) for c in (COUNTS, np.maximum(COUNTS - 1, 0)))
-#: Of a slot's pair of bytes, zeros below ones: log odds; these without a zero, or without a one; the sum of counts.
+_LOG = np.log(COUNTS + np.float32(PRIOR))
+#: Of a slot's pair of bytes, zeros below ones: log odds and the sum of counts.
 _ZEROS, _ONES = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
 ODDS = _LOG[_ONES] - _LOG[_ZEROS]
-ODDS_LESS = np.concatenate([_LOG[_ONES] - _LOG_LESS[_ZEROS], _LOG_LESS[_ONES] - _LOG[_ZEROS]])
-SUMS = COUNTS[_ZEROS] + COUNTS[_ONES]
+#: Parts of the level by sums of counts, and by a slot's pair of bytes.
+WORD_LEVEL, NEXT_LEVEL = ((np.searchsorted(t, np.arange(64)) * n).astype(np.int64) for t, n in ((KNOWN, len(FOLLOWED) + 1), (FOLLOWED, 1)))
+_SUMS = np.minimum(COUNTS[_ZEROS] + COUNTS[_ONES] + 0.5, 63).astype(np.int64)
+WORD_LEVEL_OF, NEXT_LEVEL_OF = WORD_LEVEL[_SUMS], NEXT_LEVEL[_SUMS]
+WORD, NEXT = CONTEXTS.index("word after hint"), CONTEXTS.index("word after word")
+_STEP = np.uint32(0x9E3779B1)
+
+END = b" "
 
 
 def coded(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Counts as pairs of bytes."""
-    a, b = (np.minimum(np.rint(8 * np.log2(1 + n)), 255).astype(np.uint16) for n in (zeros, ones))
+    a, b = (np.minimum(np.rint(8 * np.log2(1.0 + n)), 255).astype(np.uint16) for n in (zeros, ones))
     return a | b << 8
 
-#: Classes of texts, counts that tell them apart, rounds of fitting.
-CLASSES, FEATURES, ROUNDS, SEED = 8, 1024, 15, 5
-
-END = b" "
-_PREFIX = [bytes([c]) for c in range(CLASSES + 1)]
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(crc32, words), np.int64, len(words)) % FEATURES
-
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def tokens_of(text: str, centres: np.ndarray) -> list[bytes]:
-    """Tokens, each after a byte for the class of the text before it: 0 for none. centres: log rates of FEATURES."""
-    words = words_of(text)
-    words.append(END)
-    if not len(centres):
-        return [_PREFIX[0] + w for w in words]
-    found = (np.cumsum(centres[:, _hashes(words[:-1])], axis=1).argmax(0) + 1).tolist()
-    return [_PREFIX[c] + w for c, w in zip([0, *found], words, strict=True)]
-
-
-def _centres(docs: DataFrame) -> np.ndarray:
-    """Log rates of hashed words in CLASSES groups of texts; none without texts."""
-    learning = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))) % 5 != 1
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, n = [], []
-            for t in b.column(0).to_pylist():
-                counts = np.bincount(_hashes(words_of(t)), minlength=FEATURES)
-                if len(some := np.flatnonzero(counts)):
-                    at.append(some.astype("<u2"))
-                    n.append(counts[some].astype("<u4"))
-            if at:
-                blob = W.pack(np.fromiter(map(len, at), "<u4", len(at)), np.concatenate(at), np.concatenate(n))
-                yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int32()), pa.array([blob], pa.binary())], names=["texts", "data"])
+def tokens_of(text: str | None) -> list[bytes]:
+    return [*words_of(text), END]
 
-    spark = docs.sparkSession
-    packed = table(docs.where(learning & F.col("text").isNotNull()).select("text").mapInArrow(features, "texts int, data binary"), "mixing-features", "mixing-features")
-    total = packed.agg(F.sum("texts")).first()[0] or 0
-    if not total:
-        return np.zeros((0, FEATURES))
-
-    c = np.zeros((0, FEATURES))
-    while len(c) < min(CLASSES, total):
-        # the text of the least key is drawn with a chance in proportion to its distance; a row a task
-        key, data = min(tuple(r) for r in packed.select("data").mapInArrow(partial(_drawn, c), "key double, data binary").collect())
-        at, n = W.unpack(bytes(data))
-        c = np.concatenate([c, np.zeros((1, FEATURES))])
-        c[-1, at] = np.sqrt(n / n.sum())
-    for _ in range(ROUNDS):
-        # a row a task: sums of CLASSES x FEATURES numbers
-        rows = [W.unpack(bytes(r["data"])) for r in packed.select("data").mapInArrow(partial(_summed, c), "data binary").collect()]
-        units, counts, texts = (sum(x[i] for x in rows).reshape(len(c), -1) for i in range(3))
-        c = np.where(texts > 0, units / np.maximum(texts, 1), c)
-        c /= np.linalg.norm(c, axis=1, keepdims=True)
-    drop_scratch(spark, "mixing-features")
-    rates = counts + 0.5
-    return np.log(rates / rates.sum(1, keepdims=True))
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of packed texts: lengths, starts, features, counts and unit coordinates."""
-    for b in batches:
-        for data in b.column(0).to_pylist():
-            lengths, at, n = W.unpack(data)
-            starts = np.cumsum(lengths, dtype=np.int64) - lengths
-            yield lengths, starts, at, n, np.sqrt(n / np.repeat(np.add.reduceat(n, starts, dtype=np.float64), lengths))
-
-
-def _near(c: np.ndarray, starts: np.ndarray, at: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    return np.stack([np.add.reduceat(unit * centre[at], starts) for centre in c])
-
-
-def _drawn(c: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of the least key, a hash of its counts as an exponential of its distance from the centres."""
-    best: tuple[float, bytes] | None = None
-    for lengths, starts, at, n, unit in _texts(batches):
-        far = np.maximum(1 - _near(c, starts, at, unit).max(0), 1e-12) if len(c) else np.ones(len(starts))
-        ends = (starts + lengths).tolist()
-        hashed = (crc32(n[a:e], crc32(at[a:e], SEED + len(c))) for a, e in zip(starts.tolist(), ends, strict=True))
-        keys = -np.log((np.fromiter(hashed, np.float64, len(starts)) + 0.5) / 2**32) / far
-        for i in np.flatnonzero(keys == keys.min()).tolist():
-            found = float(keys[i]), W.pack(at[starts[i] : ends[i]], n[starts[i] : ends[i]])
-            best = found if best is None else min(best, found)
-    if best:
-        yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["key", "data"])
-
-
-def _summed(c: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the texts nearest to each centre: sums of units and of counts, and how many they are."""
-    units, counts, texts = np.zeros(c.size), np.zeros(c.size), np.zeros(len(c))
-    for lengths, starts, at, n, unit in _texts(batches):
-        near = _near(c, starts, at, unit).argmax(0)
-        place = np.repeat(near * FEATURES, lengths) + at
-        units += np.bincount(place, unit, c.size)
-        counts += np.bincount(place, n, c.size)
-        texts += np.bincount(near, minlength=len(c))
-    if texts.any():
-        yield pa.RecordBatch.from_arrays([pa.array([W.pack(units, counts, texts)], pa.binary())], names=["data"])
+
+def stream_of(tokens: list[bytes]) -> bytes:
+    """A space after each word, and the end."""
+    return b" ".join(tokens)
 
 
 def learns(doc_id: int | None) -> int:
     return int(crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1)
 
 
-def _slices(items: list[bytes], length: int = SLICE) -> Iterator[tuple[np.ndarray, ...]]:
-    """For bytes of items, so many at a time: item, bit index, slots (ORDERS x bits), bits and gate places."""
-    at = 0
-    while at < len(items):
-        size, to = 0, at
-        while to < len(items) and (to == at or size + len(items[to]) <= length):
-            size += len(items[to])
-            to += 1
-        # a word's bytes and its closing space; the end is a space alone
-        bodies = [w[1:] if w[1:] == END else w[1:] + END for w in items[at:to]]
-        lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
-        b = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint64)
-        first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        pos = np.arange(len(b)) - first
-        item = np.repeat(np.arange(at, to), lengths)
-        cls = np.repeat(np.fromiter((w[0] for w in items[at:to]), np.uint64, to - at), lengths)
-        # a hash of all bytes before, by a sum of powers that wraps
-        powers = np.cumprod(np.concatenate([[1], np.full(int(lengths.max()), 0x100000001B3)]).astype(np.uint64))
-        terms = (b + np.uint64(1)) * powers[pos]
-        before = np.cumsum(terms) - terms
-        before -= before[first]
-        last = []
-        for k in range(1, 5):
-            x = np.zeros(len(b), np.uint64)
-            x[k:] = b[:-k] + np.uint64(1)
-            x[pos < k] = 0
-            last.append(x)
-        two = last[0] | last[1] << np.uint64(9)
-        three = two | last[2] << np.uint64(18)
-        four = three | last[3] << np.uint64(27)
-        whole = before * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)
-        for s in range(0, len(b), length):
-            e = slice(s, s + length)
-            shift = np.arange(8, dtype=np.uint64)
-            node = (np.uint64(1) << shift) | (b[e, None] >> (np.uint64(8) - shift))
-            slots = np.empty((ORDERS, node.size), np.int64)
-            slots[0] = (np.minimum(last[0][e, None], np.uint64(255)) << np.uint64(8) | node).ravel()
-            for k, ctx in enumerate((two, three, four, whole, whole + (cls + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), 1):
-                h = (ctx[e] ^ ctx[e] >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-                h = ((h ^ h >> np.uint64(29))[:, None] + node * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
-                slots[k] = (h >> np.uint64(64 - TABLES[k])).astype(np.int64).ravel() + STARTS[k]
-            bits = ((b[e, None] >> (np.uint64(7) - shift)) & np.uint64(1)).astype(np.float32).ravel()
-            place = (np.minimum(pos[e], 7)[:, None] * 8 + np.arange(8)).ravel()
-            yield np.repeat(item[e], 8), slots, bits, place, np.repeat(cls[e].astype(np.int64), 8)
-        at = to
-
-
-def count(items: list[bytes], weights: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
-    """Add items' bits to the tables, each as often as it stands."""
-    for item, slots, bits, _, _ in _slices(items):
-        w = weights[item].astype(np.float32)
-        for k in range(ORDERS):
-            np.add.at(ones, slots[k], w * bits)
-            np.add.at(zeros, slots[k], w * (1 - bits))
+def slot_bits(size: int) -> list[int]:
+    """Slots of each context, as powers of two, for so many bytes of learning text: about four a byte, from PLENTY
+    bytes on by the square root of them, as vocabularies grow."""
+    bits = max(LEAST_BITS, min(size, PLENTY).bit_length() + 2)
+    most = min(MOST_BITS, bits + max(0, size.bit_length() - PLENTY.bit_length()) // 2)
+    return [min(few, most) for few in FEW_BITS] + [most] * (ORDERS - len(FEW_BITS))
 
 
 @dataclass
-class Mixer:
-    weights: np.ndarray
-    seen: np.ndarray  # counts of zeros and ones by class, level and bin of the mixed odds
+class Code:
+    """Of each pair of a byte and the one before: where its bits start in nodes and bits, and how many they are. nodes:
+    inner places of the codes; depth: of a place, in DEPTHS steps."""
+
+    start: np.ndarray
+    length: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    depth: np.ndarray
 
     @staticmethod
-    def new() -> Mixer:
-        return Mixer(np.full((GATES, ORDERS), 0.35, np.float32), np.zeros((2, (CLASSES + 1) * LEVELS * BINS)))
-
-    def odds(self, slots: np.ndarray, pairs: np.ndarray, place: np.ndarray, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts' log odds, gates and mixed log odds; bits, if given, are taken out of the counts first."""
-        c = pairs[slots]
-        x = ODDS[c] if bits is None else ODDS_LESS[c + bits.astype(np.int32) * (1 << 16)]
-        # how well the whole word so far is known, or else whether its last four bytes are
-        whole, four = (SUMS[c[k]] - (bits is not None) for k in (4, 3))
-        level = np.where(whole > 0.5, 2 + np.searchsorted(LEVEL_COUNTS, whole, "right"), four > 0.5).astype(np.int64)
-        gate = place * LEVELS + level
-        z = np.zeros(len(gate), np.float32)
+    def fitted(pairs: np.ndarray) -> Code:
+        """Huffman's codes of bytes by the byte before, from counts of the 65,536 pairs, each counted once more."""
+        lengths, nodes, bits, depth = [], [], [], []
+        plain = _huffman(np.zeros(256))
+        for before, row in enumerate(pairs.reshape(256, 256)):
+            for path in _huffman(row) if row.any() else plain:
+                lengths.append(len(path))
+                nodes += [before * 256 + node for node, _ in path]
+                bits += [bit for _, bit in path]
+                depth += range(len(path))
+        length = np.array(lengths)
+        step = np.minimum((np.array(depth) + 1) >> 1, DEPTHS - 1)
+        return Code(np.cumsum(length) - length, length, np.array(nodes).astype(np.uint32) * np.uint32(0x85EBCA6B), np.array(bits, np.uint8), step.astype(np.uint8))
+
+
+def _huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Each byte's path: inner nodes and the bits taken there."""
+    heap: list[tuple] = [(int(n) + 1, b, b) for b, n in enumerate(counts)]
+    heapq.heapify(heap)
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+    under = {b: [b] for b in range(256)}
+    for node in range(255):
+        (n, _, a), (m, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        for bit, side in ((0, a), (1, b)):
+            for x in under[side]:
+                paths[x].append((node, bit))
+        under[256 + node] = under.pop(a) + under.pop(b)
+        heapq.heappush(heap, (n + m, 256 + node, 256 + node))
+    return [p[::-1] for p in paths]
+
+
+@dataclass
+class Bits:
+    """Bits of texts in the order in which they are worked off: step by step, in each step text by text."""
+
+    text: np.ndarray
+    bit: np.ndarray
+    depth: np.ndarray
+    slots: list[np.ndarray]
+    steps: np.ndarray  # where each step's bits end
+
+
+def contexts(b: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each byte's contexts. first: where the byte's text starts."""
+    i = np.arange(len(b))
+    inside = i - first
+    z = b.astype(np.uint64) + np.uint64(1)
+    last = []
+    for k in range(1, 6):
+        x = np.zeros(len(b), np.uint64)
+        x[k:] = z[:-k]
+        x[inside < k] = 0
+        last.append(x << np.uint64(9 * (k - 1)))
+    three = last[0] | last[1] | last[2]
+    five = three | last[3] | last[4]
+    # a hash of the word's bytes so far, by a sum of powers that wraps
+    opens = inside == 0
+    opens[1:] |= b[:-1] == 32
+    head = np.maximum.accumulate(np.where(opens, i, 0))
+    at = i - head
+    powers = np.cumprod(np.concatenate([[1], np.full(int(at.max(initial=0)), 0x100000001B3)]).astype(np.uint64))
+    terms = z * powers[at]
+    before = np.cumsum(terms) - terms
+    word = (before - before[head]) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)
+    earlier = head > first
+    previous = np.where(earlier, word[head - 1] + np.uint64(1), np.uint64(0))
+    sign = np.maximum.accumulate(np.where(b >= 128, i, -1))[head - 1]
+    hint = np.where(earlier & (sign >= first), z[sign] | z[np.maximum(sign - 1, first)] << np.uint64(9), np.uint64(0))
+    out = []
+    for k, x in enumerate((three, five, word + (hint + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93), word + (previous + np.uint64(3)) * np.uint64(0xA0761D6478BD642F))):
+        x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k)
+        out.append(((x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32))
+    return out
+
+
+def pairs_of(b: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each byte under the one before it, which is a space where the text starts."""
+    out = np.full(len(b), 32 << 8, np.int64)
+    out[1:] = np.where(first[1:] < np.arange(1, len(b)), b[:-1].astype(np.int64) << 8, 32 << 8)
+    return out | b
+
+
+def bits_of(pieces: list[bytes], skipped: list[int], code: Code, powers: list[int]) -> Bits:
+    """The bits of pieces but for the bytes skipped at their starts, which are contexts only."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    b = np.frombuffer(b"".join(pieces), np.uint8)
+    text = np.repeat(np.arange(len(pieces)), sizes)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    hashes = contexts(b, first)
+    pair = pairs_of(b, first)
+    step = (np.arange(len(b)) - first - np.repeat(np.array(skipped, np.int64), sizes)) // CHUNK
+    order = np.argsort(step.astype(np.int16), kind="stable")
+    order = order[int((step < 0).sum()) :]
+    pair, step = pair[order], step[order]
+    lengths = code.length[pair]
+    ends = np.cumsum(lengths)
+    byte = np.repeat(np.arange(len(pair)), lengths)
+    place = np.arange(len(byte)) + np.take(code.start[pair] - ends + lengths, byte)
+    nodes = np.take(code.nodes, place)
+    slots = []
+    for h, t in zip(hashes, powers, strict=True):
+        s = np.take(h[order], byte)
+        s += nodes
+        s *= _STEP
+        s >>= np.uint32(32 - t)
+        slots.append(s.astype(np.int64))
+    steps = ends[np.flatnonzero(np.diff(step, append=-1))] if len(step) else np.zeros(0, np.int64)
+    return Bits(np.take(text[order], byte), np.take(code.bits, place), np.take(code.depth, place), slots, steps)
+
+
+def bins(z: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return level * BINS + np.rint((z + np.float32(CLIP)) * np.float32((BINS - 1) / 2 / CLIP)).astype(np.int64)
+
+
+def mixed(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    z = x[0] * np.take(weights[0], gate)
+    for k in range(1, ORDERS):
+        z += x[k] * np.take(weights[k], gate)
+    return np.clip(z, -CLIP, CLIP, out=z)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+class Learner:
+    """Tables, weights and map that grow with what it reads."""
+
+    def __init__(self, code: Code, powers: list[int]):
+        self.code, self.powers = code, powers
+        # zeros and ones of a slot are halves of one number: both are looked up at once
+        self.counts = [np.zeros(1 << t, np.uint64) for t in powers]
+        self.weights = np.full((ORDERS, GATES), 0.3, np.float32)
+        self.moved = np.full((ORDERS, GATES), 1e-3)
+        self.seen = np.zeros((2, LEVELS * BINS))
+
+    def learn(self, pieces: list[bytes], skipped: list[int]) -> int:
+        m = bits_of(pieces, skipped, self.code, self.powers)
+        x = np.empty((ORDERS, len(m.bit)), np.float32)
+        level = np.zeros(len(m.bit), np.int64)
         for k in range(ORDERS):
-            z += x[k] * self.weights[:, k][gate]
-        return x, gate, np.clip(z, -CLIP, CLIP)
-
-    def bins(self, z: np.ndarray, gate: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        return (cls * LEVELS + gate % LEVELS) * BINS + np.rint((z / CLIP + 1) / 2 * (BINS - 1)).astype(np.int64)
-
-    def refined(self, z: np.ndarray, bins: np.ndarray) -> np.ndarray:
-        """The probability of a one: the mixed one, averaged with what was observed at such odds."""
-        p = 1 / (1 + np.exp(-z.astype(np.float64)))
-        n0, n1 = self.seen[0][bins], self.seen[1][bins]
-        p = (p + (n1 + p * 20) / (n0 + n1 + 20)) / 2
-        return np.clip(p, 1e-7, 1 - 1e-7)
-
-    def learn(self, items: list[bytes], weights: np.ndarray, pairs: np.ndarray, curves: np.ndarray) -> None:
-        """A step for each slice: Newton's for each gate, by the curvature of all slices so far."""
-        for item, slots, bits, place, cls in _slices(items, STEP):
-            w = weights[item].astype(np.float32)
-            x, gate, z = self.odds(slots, pairs, place, bits)
-            p = 1 / (1 + np.exp(-z))
-            np.add.at(self.seen[1], b := self.bins(z, gate, cls), w * bits)
-            np.add.at(self.seen[0], b, w * (1 - bits))
-            err, bend = w * (bits - p), w * np.maximum(p * (1 - p), 1e-3)
-            slope = np.stack([np.bincount(gate, err * x[k], GATES) for k in range(ORDERS)], 1)
-            for i in range(ORDERS):
-                for j in range(i + 1):
-                    curves[:, i, j] += (c := np.bincount(gate, bend * x[i] * x[j], GATES))
-                    if i != j:
-                        curves[:, j, i] += c
-            used = np.flatnonzero(np.bincount(gate, minlength=GATES))
-            step = np.linalg.solve(curves[used], slope[used][:, :, None])[:, :, 0]
-            self.weights[used] += np.clip(step, -0.5, 0.5).astype(np.float32)
-
-    def score(self, items: list[bytes], pairs: np.ndarray) -> np.ndarray:
-        """log10 probabilities of items, given their classes."""
-        out = np.zeros(len(items))
-        for item, slots, bits, place, cls in _slices(items):
-            _, gate, z = self.odds(slots, pairs, place)
-            p = self.refined(z, self.bins(z, gate, cls))
-            out += np.bincount(item, np.log10(np.where(bits > 0, p, 1 - p)), len(items))
-        return out
+            c = np.take(self.counts[k], m.slots[k]).view(np.uint32).astype(np.float32)
+            if k in (WORD, NEXT):
+                level += np.take(WORD_LEVEL if k == WORD else NEXT_LEVEL, np.minimum(c[::2] + c[1::2], np.float32(63)).astype(np.int64))
+            c += np.float32(PRIOR)
+            np.log(c[1::2] / c[::2], out=x[k])
+        gate = level * DEPTHS + m.depth
+        for at in range(0, len(m.bit), BATCH):
+            e = slice(at, at + BATCH)
+            z = mixed(x[:, e], self.weights, gate[e])
+            err = m.bit[e] - sigmoid(z)
+            spot = bins(z, level[e])
+            much = np.flatnonzero(np.abs(err) > LITTLE)
+            err, g = np.take(err, much).astype(np.float64), np.take(gate[e], much)
+            slope = np.stack([np.bincount(g, err * np.take(x[k, e], much), GATES) for k in range(ORDERS)])
+            self.moved += slope**2
+            self.weights += (RATE * slope / np.sqrt(self.moved)).astype(np.float32)
+            self.seen += np.bincount(spot * 2 + m.bit[e], minlength=2 * LEVELS * BINS).reshape(-1, 2).T
+        for k in range(ORDERS):
+            np.add.at(self.counts[k].view(np.uint32), m.slots[k] * 2 + m.bit, np.uint32(1))
+        return len(m.bit)
+
+
+def pieces_of(stream: bytes) -> Iterator[tuple[bytes, int]]:
+    """Pieces of a text, each after some bytes of the piece before, and how many those are."""
+    for at in range(0, len(stream), PIECE):
+        back = max(0, at - BEHIND)
+        yield stream[back : at + PIECE], at - back
 
 
 @dataclass
 class Model:
-    tables: Broadcast
-    mixer: Mixer
-    tokens: int
-    distinct: int
-    sums: np.ndarray  # tokens and distinct tokens by class
-
-    def interpolated(self, bits: np.ndarray, cls: np.ndarray, counts: np.ndarray, all_counts: np.ndarray) -> np.ndarray:
-        """log10 probabilities: counts in the class, then in all, then the bits, each by what it leaves for the new."""
-        p = 10.0**bits
-        if self.tokens:
-            p = (all_counts + self.distinct * p) / (self.tokens + self.distinct)
-            n, kinds = self.sums[0][cls], np.maximum(self.sums[1][cls], 1)
-            p = (counts + kinds * p) / (n + kinds)
-        return np.log10(np.maximum(p, 1e-300))
-
-
-def _vocabulary(parts: DataFrame) -> DataFrame:
+    code: Code
+    powers: list[int]
+    pairs: Broadcast
+    weights: np.ndarray
+    seen: np.ndarray
+
+    def score(self, streams: list[bytes]) -> np.ndarray:
+        """log10 probabilities of texts."""
+        out, tables = np.zeros(len(streams)), self.pairs.value
+        for group in _grouped(streams):
+            state = (np.tile(self.weights, len(group)), np.tile(self.map, len(group)))
+            parts = [list(pieces_of(streams[i])) for i in group]
+            for n in range(max(map(len, parts))):
+                # texts of several pieces are alone in their group
+                now = [p[n] for p in parts]
+                m = bits_of([p for p, _ in now], [s for _, s in now], self.code, self.powers)
+                out[group] += self._run(m, tables, *state)
+        return out
+
+    @property
+    def map(self) -> np.ndarray:
+        """The map from bins to probabilities of a one, in doubt those of the bins' odds."""
+        z = np.tile((np.arange(BINS) / (BINS - 1) * 2 - 1) * CLIP, LEVELS)
+        return ((self.seen[1] + 20 * sigmoid(z)) / (self.seen.sum(0) + 20)).astype(np.float32)
+
+    def _run(self, m: Bits, tables: list[np.ndarray], weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+        x = np.empty((ORDERS, len(m.bit)), np.float32)
+        for k in range(ORDERS):
+            c = np.take(tables[k], m.slots[k])
+            np.take(ODDS, c, out=x[k], mode="clip")
+            if k == WORD:
+                level = np.take(WORD_LEVEL_OF, c)
+            elif k == NEXT:
+                level += np.take(NEXT_LEVEL_OF, c)
+        gate = m.text * GATES + level * DEPTHS + m.depth
+        level += m.text * LEVELS
+        p = np.empty(len(m.bit), np.float32)
+        start = 0
+        for end in m.steps.tolist():
+            e = slice(start, end)
+            # texts come longest first: those of a step are the first ones
+            xe, g, bit, texts = x[:, e], gate[e], m.bit[e], int(m.text[end - 1]) + 1
+            z = mixed(xe, weights, g)
+            q = sigmoid(z)
+            spot = bins(z, level[e])
+            old = np.take(refined, spot)
+            p[e] = (q + old) / 2
+            err = bit - q
+            much = np.flatnonzero(np.abs(err) > LITTLE)
+            err, g = np.take(err, much).astype(np.float64) * OWN_RATE, np.take(g, much)
+            for k in range(ORDERS):
+                weights[k, : texts * GATES] += np.bincount(g, err * np.take(xe[k], much), texts * GATES)
+            n = texts * LEVELS * BINS
+            refined[:n] += np.bincount(spot, (bit - old).astype(np.float64), n) / (np.bincount(spot, minlength=n) + INERTIA)
+            start = end
+        p = np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
+        return np.bincount(m.text, np.log10(np.where(m.bit > 0, p, 1 - p).astype(np.float64)), len(refined) // (LEVELS * BINS))
+
+
+def _grouped(streams: list[bytes]) -> Iterator[np.ndarray]:
+    """Texts that are scored side by side, the longest first; one of several pieces is alone."""
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+    group, size = [], 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        if group and (sizes[group[0]] > PIECE or size + sizes[i] > SCORE_BYTES):
+            yield np.array(group)
+            group, size = [], 0
+        group.append(i)
+        size += int(sizes[i])
+    if group:
+        yield np.array(group)
+
+
+def _learning(docs: DataFrame) -> DataFrame:
+    own = F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))) % 5 != 1
+    return docs.where(own).select(F.col("text").cast("string").alias("text"))
+
+
+def _code(learning: DataFrame) -> tuple[Code, int]:
+    """The code of learning texts, and their bytes."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                b = np.frombuffer(stream_of(tokens_of(text)), np.uint8)
+                np.add.at(sums, pairs_of(b, np.zeros(len(b), np.int64)), 1)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["pair", "n"])
+
+    pairs = np.zeros(1 << 16)
+    for r in learning.mapInArrow(counted, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        pairs[r["pair"]] = r["n"]
+    return Code.fitted(pairs), int(pairs.sum())
+
+
+def fit(docs: DataFrame) -> Model:
+    """A model of the documents that learns() names."""
+    learning = _learning(docs)
+    spark = docs.sparkSession
+    code, size = _code(learning)
+    powers = slot_bits(size)
+    starts = np.cumsum([0, *(max(1 << t, PART) // PART for t in powers)])
+    sent = spark.sparkContext.broadcast((code, powers))
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.keep_memory()
+        m = Learner(*sent.value)
+        held: list[tuple[bytes, int]] = []
+        size = bits = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for piece in pieces_of(stream_of(tokens_of(text))):
+                    held.append(piece)
+                    size += len(piece[0])
+                    if size >= LEARN_BYTES:
+                        bits += m.learn(*map(list, zip(*held, strict=True)))
+                        held, size = [], 0
+        if held:
+            bits += m.learn(*map(list, zip(*held, strict=True)))
+        row = lambda part, *arrays: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([W.pack(*arrays)], pa.binary())], names=["part", "data"])
+        if bits:
+            yield row(-1, np.array([float(bits)]), m.weights.ravel() * float(bits), m.seen.ravel())
+        for k, counts in enumerate(m.counts):
+            for n, at in enumerate(range(0, len(counts), PART)):
+                part = counts[at : at + PART]
+                if part.any():
+                    yield row(int(starts[k]) + n, part.view(np.uint32)[::2].copy(), part.view(np.uint32)[1::2].copy())
+        del m
+        W.relax()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                arrays = [a.astype(np.float64 if part < 0 else np.uint64) for a in W.unpack(data)]
+                held[part] = [a + b for a, b in zip(held[part], arrays, strict=True)] if part in held else arrays
+        for part, arrays in held.items():
+            packed = W.pack(*arrays) if part < 0 else W.pack(coded(*arrays))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["part", "data"])
+
+    sums = table(learning.coalesce(W.tasks_for(docs, TASK_BYTES)).mapInArrow(learnt, "part int, data binary").repartition("part").mapInArrow(added, "part int, data binary"), "mixing-tables", "mixing")
+    flat = np.zeros(int(starts[-1]) * PART, np.uint16)
+    weights, seen = np.full((ORDERS, GATES), 0.3, np.float32), np.zeros((2, LEVELS * BINS))
+    for r in sums.toLocalIterator():  # tables of a bounded size, a part a row
+        arrays = W.unpack(bytes(r["data"]))
+        if r["part"] < 0:
+            weights, seen = (arrays[1] / arrays[0]).astype(np.float32).reshape(weights.shape), arrays[2].reshape(seen.shape)
+        else:
+            flat[r["part"] * PART :][: len(arrays[0])] = arrays[0]
+    pairs = [flat[int(s) * PART :][: 1 << t] for s, t in zip(starts, powers, strict=False)]
+    return Model(code, powers, spark.sparkContext.broadcast(pairs), weights, seen)
+
+
+def _vocabulary(parts: DataFrame, tasks: int) -> DataFrame:
     """Distinct tokens of learning documents and their counts, packed; block: tokens, once: distinct words of a row."""
 
     def merge(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -314,11 +448,10 @@ def _vocabulary(parts: DataFrame) -> DataFrame:
         now = None
 
         def flush() -> Iterator[tuple]:
-            words = sorted((w for w, c in held.items() if c), key=lambda w: (w[1:], w))
-            total, distinct = sum(held.values()), len({w[1:] for w in words})
+            words = sorted(w for w, c in held.items() if c)
             for at in range(0, len(words), 100_000):
-                part = words[at : at + 100_000]
-                yield total if not at else 0, now, 0, distinct if not at else 0, W.pack_words(part, np.array([held[w] for w in part], "<u8"))
+                counts = np.array([held[w] for w in words[at : at + 100_000]], "<u8")
+                yield int(counts.sum()), now, 0, len(counts), W.pack_words(words[at : at + 100_000], counts)
             held.clear()
 
         for _, bucket, _, _, data in rows:
@@ -330,77 +463,19 @@ def _vocabulary(parts: DataFrame) -> DataFrame:
                 held[w] = held.get(w, 0) + c
         yield from flush()
 
-    return W.by_bucket(parts.where("kind = 0"), merge)
-
-
-def _read(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    for b in rows:
-        for data in b.column(0).to_pylist():
-            words, (counts,) = W.unpack_words(data)
-            yield words, counts.astype(np.float64)
-
-
-def fit(parts: DataFrame, vocabulary: DataFrame) -> Model:
-    """A model of the vocabulary; its tables have a fixed size."""
-    spark = parts.sparkSession
-    totals = vocabulary.agg(F.sum("block"), F.sum("once")).first()
-    tokens, distinct = int(totals[0] or 0), int(totals[1] or 0)
-    packed = vocabulary.select("data").coalesce(int(max(6, plan_bytes(vocabulary) // TASK_BYTES)))
-    slots = int(STARTS[-1])
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zeros, ones = np.zeros(slots, np.float32), np.zeros(slots, np.float32)
-        for words, counts in _read(batches):
-            count(words, counts, zeros, ones)
-        for at in range(0, slots, PART):
-            a, b = zeros[at : at + PART], ones[at : at + PART]
-            if a.any() or b.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // PART], pa.int32()), pa.array([W.pack(a, b)], pa.binary())], names=["part", "data"])
-        del zeros, ones
-        W.relax()
+    return W.by_bucket(parts.where("kind = 0"), merge, tasks)
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = W.unpack(data)
-                if part in held:
-                    held[part][0] += a
-                    held[part][1] += b
-                else:
-                    held[part] = [a.copy(), b.copy()]
-        for part, (a, b) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([W.pack(coded(a, b).astype("<u2"))], pa.binary())], names=["part", "data"])
-
-    sums = table(packed.mapInArrow(counted, "part int, data binary").repartition("part").mapInArrow(added, "part int, data binary"), "mixing-tables")
-    pairs = np.zeros(slots, np.uint16)
-    for r in sums.collect():  # parts of tables of a fixed size
-        at = r["part"] * PART
-        (pairs[at : at + PART],) = W.unpack(bytes(r["data"]))
-    sent = spark.sparkContext.broadcast(pairs)
 
-    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = sent.value
-        m, total, sums = Mixer.new(), 0.0, np.zeros((2, CLASSES + 1))
-        curves = np.tile(np.eye(ORDERS) * RIDGE, (GATES, 1, 1))
-        for words, counts in _read(batches):
-            # in an order that has nothing to do with the alphabet
-            mixed = np.random.default_rng(len(words)).permutation(len(words))
-            m.learn([words[i] for i in mixed.tolist()], counts[mixed], pairs, curves)
-            total += counts.sum()
-            cls = np.fromiter((w[0] for w in words), np.int64, len(words))
-            sums += [np.bincount(cls, counts, CLASSES + 1), np.bincount(cls, minlength=CLASSES + 1)]
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([W.pack(m.weights.ravel(), m.seen.ravel(), sums.ravel())], pa.binary())], names=["total", "data"])
-
-    # a row a task: a few kilobytes each
-    mixers = [(r["total"], *W.unpack(bytes(r["data"]))) for r in packed.mapInArrow(learnt, "total double, data binary").collect()]
-    m = Mixer.new()
-    if mixers:
-        m.weights = (sum(t * w for t, w, _, _ in mixers) / sum(t for t, _, _, _ in mixers)).astype(np.float32).reshape(GATES, ORDERS)
-        m.seen = sum(s for _, _, s, _ in mixers).reshape(2, -1)
-    sums = sum((s for _, _, _, s in mixers), np.zeros(2 * (CLASSES + 1))).reshape(2, -1)
-    return Model(sent, m, tokens, distinct, sums)
+def _answers(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Counts of a block's packed words. A task sees its buckets' vocabulary first."""
+    counts: dict[bytes, int] = {}
+    for block, bucket, kind, once, data in rows:
+        words, arrays = W.unpack_words(data)
+        if kind == 0:
+            counts.update(zip(words, arrays[0].tolist(), strict=True))
+        else:
+            c = np.fromiter((counts.get(w, 0) for w in words), "<u8", len(words))
+            yield block, bucket, 0, once, W.pack(arrays[0], c.astype("<u4") if not len(c) or c.max() < 1 << 32 else c)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -408,64 +483,38 @@ def score(docs: DataFrame) -> DataFrame:
     text): learnt from the documents that learns() names, for all of them."""
     spark = docs.sparkSession
     ship(spark)
-    centres = _centres(docs)
-    parts = table(W.split_blocks(docs, partial(tokens_of, centres=centres), learns, W.buckets_for(docs), weigh=True, hash_from=1), "mixing-words")
-    vocabulary = table(_vocabulary(parts), "mixing-vocabulary")
-    model = fit(parts, vocabulary)
-    sent = spark.sparkContext.broadcast(model)
-    rows = vocabulary.unionByName(parts.where("kind = 0").withColumn("kind", F.lit(1)))
-    answers = W.by_bucket(rows, partial(_answers, sent))
+    docs = W.dealt(docs.select("doc_id", "text"))
+    sent = spark.sparkContext.broadcast(fit(docs))
+
+    def scored(rows: list[list[bytes]]) -> np.ndarray:
+        streams = [stream_of(tokens) for tokens in rows]
+        return np.stack([sent.value.score(streams), np.fromiter(map(len, streams), np.float64, len(streams))], 1)
+
+    tasks = W.tasks_for(docs)
+    parts = table(W.split_blocks(docs, tokens_of, learns, W.buckets_for(docs), weigh=True, extra=scored), "mixing-words", "mixing")
+    vocabulary = table(_vocabulary(parts, tasks), "mixing-vocabulary", "mixing")
+    totals = vocabulary.agg(F.sum("block"), F.sum("once")).first()
+    tokens, distinct = int(totals[0] or 0), int(totals[1] or 0)
+    scale = tokens + 0.5 * (distinct + 1)
+    answers = W.by_bucket(vocabulary.unionByName(parts.where("kind = 0").withColumn("kind", F.lit(1))), _answers, tasks)
     fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    tokens, scale = model.tokens, model.tokens + 0.5 * (model.distinct + 1)
 
     def add(held: list, data: bytes) -> None:
-        steps, counts, scores, sizes = W.unpack(data)
-        held.append((np.cumsum(steps, dtype=np.int64), counts, scores, sizes))
+        steps, counts = W.unpack(data)
+        held.append((np.cumsum(steps, dtype=np.int64), counts))
 
-    def finish(held: list, doc_id: int | None, flag: int, ranks: np.ndarray) -> tuple:
+    def finish(held: list, doc_id: int | None, flag: int, ranks: np.ndarray, extra: np.ndarray) -> tuple:
         if not isinstance(held[0], np.ndarray):
             order = np.argsort(np.concatenate([x[0] for x in held]))
-            held[:] = [np.concatenate([x[i] for x in held])[order] for i in (1, 2, 3)]
-        counts, scores, sizes = held
-        c = counts[ranks].astype(np.float64)
-        return doc_id, not flag, len(ranks), int((c > 0).sum()), tokens, float(np.log10((c + 0.5) / scale).sum()), float(scores[ranks].sum()), int(sizes[ranks].sum())
+            held[:] = [np.concatenate([x[1] for x in held])[order].astype(np.float64)]
+        c = held[0][ranks]
+        return doc_id, not flag, len(ranks), int((c > 0).sum()), tokens, float(np.log10((c + 0.5) / scale).sum()), float(extra[0]), int(extra[1])
 
-    out = W.by_block(answers.unionByName(parts.where("kind = 1")), list, add, finish, fields, schema)
+    out = W.by_block(answers.unionByName(parts.where("kind = 1")), list, add, finish, fields, schema, tasks)
     return out.withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes"))
 
 
-def _answers(sent: Broadcast, rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Counts and scores of a block's packed words. A task sees its buckets' vocabulary first."""
-    model: Model = sent.value
-    counts: dict[bytes, int] = {}
-    own: dict[bytes, int] = {}
-    known: dict[bytes, float] = {}
-    for block, bucket, kind, once, data in rows:
-        words, arrays = W.unpack_words(data)
-        if kind == 0:
-            for w, c in zip(words, arrays[0].tolist(), strict=True):
-                counts[w[1:]] = counts.get(w[1:], 0) + c
-                own[w] = c
-            continue
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > HELD:
-            known.clear()
-            new = words
-        if new:
-            bits = model.mixer.score(new, model.tables.value)
-            cls = np.fromiter((w[0] for w in new), np.int64, len(new))
-            mine, whole = (np.fromiter((d.get(w, 0) for w in x), float, len(new)) for d, x in ((own, new), (counts, [w[1:] for w in new])))
-            known.update(zip(new, model.interpolated(bits, cls, mine, whole).tolist(), strict=True))
-        c = np.fromiter((counts.get(w[1:], 0) for w in words), "<u8", len(words))
-        s = np.fromiter(map(known.__getitem__, words), "<f8", len(words))
-        # coded bytes: the word and its closing space; the end alone
-        n = np.fromiter((1 if w[1:] == END else len(w) for w in words), "<u4", len(words))
-        yield block, bucket, 0, once, W.pack(arrays[0], c.astype("<u4") if not len(c) or c.max() < 1 << 32 else c, s, n)
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return score(docs)
-
-

@@ -26,6 +26,12 @@ from foliospark.sources.runtime import plan_bytes
 #: only make packed rows too small; a bucket's words are then held by fewer, larger dictionaries.
 BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 8 << 20, 4096
 
+#: Input of a task that works on packed rows, in bytes of files; text of documents that extras are worked out for at once.
+TASK_BYTES, EXTRA_BYTES, SHARE_BYTES = 24 << 20, 4 << 20, 1 << 20
+
+#: Sizes from here on stand for those that are not known.
+NO_ESTIMATE = 1 << 60
+
 #: Words of documents that travel in one row.
 CHUNK_WORDS = 300_000
 
@@ -34,6 +40,13 @@ CHUNK_WORDS = 300_000
 SCHEMA = "block long, bucket int, kind int, once int, data binary"
 
 
+def keep_memory() -> None:
+    """Let freed memory be used again instead of mapping new pages for each large array (glibc only)."""
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 1 << 30)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+
+
 def relax() -> None:
     """Give memory back at a task's end: the worker goes on to other tasks."""
     gc.collect()
@@ -42,6 +55,19 @@ def relax() -> None:
         libc.malloc_trim(0)
 
 
+def tasks_for(docs: DataFrame, share: int | None = None) -> int:
+    """Tasks that packed words and documents are dealt to, by the input's bytes; the session's number of shuffle
+    partitions if Catalyst has no estimate of these."""
+    size = plan_bytes(docs)
+    return max(8, size // (share or TASK_BYTES)) if size < NO_ESTIMATE else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs, dealt to all cores if they come in fewer pieces though each would get SHARE_BYTES of files or more."""
+    wanted = min(docs.sparkSession.sparkContext.defaultParallelism, plan_bytes(docs) // SHARE_BYTES)
+    return docs.repartition(wanted) if docs.rdd.getNumPartitions() < wanted else docs
+
+
 def buckets_for(docs: DataFrame) -> int:
     return max(24, min(MOST_BUCKETS, plan_bytes(docs) // BUCKET_BYTES))
 
@@ -75,46 +101,50 @@ def unpack_words(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else [], arrays
 
 
-def pack_docs(docs: list[tuple[int | None, int, np.ndarray]]) -> bytes:
-    """Ids, flags and ranks of documents. Frequent ranks take a byte, others four more; the streams apart."""
-    ranks = np.concatenate([x for _, _, x in docs])
+def pack_docs(docs: list[tuple[int | None, int, np.ndarray, np.ndarray]]) -> bytes:
+    """Ids, flags, ranks and extras of documents. Frequent ranks take a byte, others four more; the streams apart."""
+    ranks = np.concatenate([d[2] for d in docs])
     low = np.minimum(ranks, 255).astype("|u1")
     rest = (ranks[ranks >= 255] - 255).astype("<u4")
-    ids = np.array([d or 0 for d, _, _ in docs], "<i8")
-    return pack(ids, np.array([d is None for d, _, _ in docs], "|u1"), np.array([f for _, f, _ in docs], "|u1"), np.array([len(x) for _, _, x in docs], "<u4"), low, *((rest >> shift & 0xFF).astype("|u1") for shift in (0, 8, 16, 24)))
+    ids = np.array([d[0] or 0 for d in docs], "<i8")
+    extras = np.concatenate([d[3] for d in docs]).astype("<f8")
+    return pack(ids, np.array([d[0] is None for d in docs], "|u1"), np.array([d[1] for d in docs], "|u1"), np.array([len(d[2]) for d in docs], "<u4"), extras, low, *((rest >> shift & 0xFF).astype("|u1") for shift in (0, 8, 16, 24)))
 
 
-def unpack_docs(blob: bytes, once: int, seen: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
+def unpack_docs(blob: bytes, once: int, seen: int) -> Iterator[tuple[int | None, int, np.ndarray, np.ndarray]]:
     """once: the first rank of the words that stand once in the block; seen: how many of those came before."""
-    ids, null, flags, lengths, low, *rest = unpack(blob)
+    ids, null, flags, lengths, extras, low, *rest = unpack(blob)
     ranks = low.astype(np.int64)
     ranks[low == 255] += sum(x.astype(np.int64) << 8 * i for i, x in enumerate(rest))
     ranks -= 1
     new = np.flatnonzero(ranks < 0)
     ranks[new] = once + seen + np.arange(len(new))
     parts = np.split(ranks, np.cumsum(lengths[:-1], dtype=np.int64))
-    return zip((None if n else i for i, n in zip(ids.tolist(), null.tolist(), strict=True)), flags.tolist(), parts, strict=True)
+    return zip((None if n else i for i, n in zip(ids.tolist(), null.tolist(), strict=True)), flags.tolist(), parts, extras.reshape(len(ids), -1), strict=True)
 
 
-def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_of: Callable[[int | None], int], buckets: int, weigh: bool = False, hash_from: int = 0) -> DataFrame:
+def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_of: Callable[[int | None], int], buckets: int, weigh: bool = False, extra: Callable[[list[list[bytes]]], np.ndarray] | None = None) -> DataFrame:
     """Rows of SCHEMA from docs (doc_id long, text string; a null text has the words of an empty one).
 
-    weigh: packed words carry how often each stands in the block's documents of flag 1, too. hash_from: bytes at the
-    start of a word that don't count for its bucket.
+    weigh: packed words carry how often each stands in the block's documents of flag 1, too. extra: numbers that travel
+    with each document, from the words of several, a row each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 24, 0
         ids: dict[bytes, int] = {}
-        docs_of: list[tuple[int | None, int, np.ndarray]] = []
+        docs_of: list[tuple[int | None, int, np.ndarray, np.ndarray]] = []
         size = 0
+        none = np.zeros(0)
+        if extra:
+            keep_memory()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq, size
             names = list(ids)
             count = np.zeros(len(names), np.int64)
             seen = np.zeros(len(names), np.int64)
-            for _, flag, x in docs_of:
+            for _, flag, x, _ in docs_of:
                 n = np.bincount(x, minlength=len(names)) if len(x) > len(names) // 8 else None
                 if n is None:
                     np.add.at(count, x, 1)
@@ -128,16 +158,16 @@ def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_o
             rank = np.empty(len(names), np.int64)
             rank[np.argsort(-count, kind="stable")] = np.arange(len(names))
             once = int((count > 1).sum())
-            where = np.fromiter((crc32(w[hash_from:]) % buckets for w in names), np.int64, len(names))
+            where = np.fromiter((crc32(w) % buckets for w in names), np.int64, len(names))
             order = np.lexsort((rank, where))
             rows = []
             for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
                 steps = np.diff(rank[part], prepend=0).astype("<u4")
                 rows.append((base + seq, int(where[part[0]]), 0, once, pack_words([names[i] for i in part.tolist()], steps, *([seen[part].astype("<u4")] if weigh else []))))
             chunk, length, n = [], 0, 0
-            for doc_id, flag, x in docs_of:
+            for doc_id, flag, x, more in docs_of:
                 r = rank[x]
-                chunk.append((doc_id, flag, np.where(r >= once, 0, r + 1)))
+                chunk.append((doc_id, flag, np.where(r >= once, 0, r + 1), more))
                 length += len(x) + 16
                 if length >= CHUNK_WORDS:
                     rows.append((base + seq, n, 1, once, pack_docs(chunk)))
@@ -150,12 +180,13 @@ def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_o
             for at in range(0, len(rows), 256):
                 yield batch_of(rows[at : at + 256])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text or "")
-                x = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words))
-                docs_of.append((doc_id, flag_of(doc_id), x))
-                size += len(text or "") + 64
+        for group in _groups(batches):
+            words = [words_of(text) for _, text in group]
+            extras = extra(words) if extra else [none] * len(group)
+            for (doc_id, text), own, more in zip(group, words, extras, strict=True):
+                x = np.fromiter((ids.setdefault(w, len(ids)) for w in own), np.int32, len(own))
+                docs_of.append((doc_id, flag_of(doc_id), x, more))
+                size += len(text) + 64
                 if size >= BLOCK_BYTES:
                     yield from flush()
         if docs_of:
@@ -165,14 +196,28 @@ def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_o
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, SCHEMA)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str]]]:
+    """Documents, EXTRA_BYTES of text or one longer one at once."""
+    for batch in batches:
+        group, size = [], 0
+        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            group.append((doc_id.as_py(), text.as_py() or ""))
+            size += len(group[-1][1])
+            if size >= EXTRA_BYTES:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
+
+
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     types = [("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("once", pa.int32()), ("data", pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], names=[n for n, _ in types])
 
 
-def by_bucket(rows: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+def by_bucket(rows: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]], tasks: int) -> DataFrame:
     """Deal packed words by bucket; run gets a task's rows as tuples, by kind, and yields rows of SCHEMA."""
-    return _stream(rows.repartition("bucket").sortWithinPartitions("kind", "bucket"), run)
+    return _stream(rows.repartition(tasks, "bucket").sortWithinPartitions("kind", "bucket"), run)
 
 
 def _stream(rows: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
@@ -190,9 +235,9 @@ def _stream(rows: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]])
     return rows.mapInArrow(go, SCHEMA)
 
 
-def by_block(rows: DataFrame, start: Callable[[], object], add: Callable[[object, bytes], None], finish: Callable[[object, int | None, int, np.ndarray], tuple], fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+def by_block(rows: DataFrame, start: Callable[[], object], add: Callable[[object, bytes], None], finish: Callable[[object, int | None, int, np.ndarray, np.ndarray], tuple], fields: list[tuple[str, pa.DataType]], schema: str, tasks: int) -> DataFrame:
     """Bring answers back to their blocks: start() makes a block's table, add() fills in a packed answer, and
-    finish(table, doc_id, flag, ranks) gives the row of a document. ranks: of each of its words."""
+    finish(table, doc_id, flag, ranks, extra) gives the row of a document. ranks: of each of its words."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, seen = None, None, 0
@@ -204,14 +249,14 @@ def by_block(rows: DataFrame, start: Callable[[], object], add: Callable[[object
                     add(held, data)
                 else:
                     out = []
-                    for doc_id, flag, ranks in unpack_docs(data, once, seen):
-                        out.append(finish(held, doc_id, flag, ranks))
+                    for doc_id, flag, ranks, extra in unpack_docs(data, once, seen):
+                        out.append(finish(held, doc_id, flag, ranks, extra))
                         seen += int((ranks >= once).sum())
                     yield _rows(out, fields)
         held = None
         relax()
 
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(go, schema)
+    return rows.repartition(tasks, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(go, schema)
 
 
 def _rows(out: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:

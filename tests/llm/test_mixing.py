@@ -4,7 +4,7 @@ import random
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
 from foliospark.llm import mixing as M
 from foliospark.llm import words as W
@@ -35,31 +35,130 @@ def test_counts_and_base_scores(spark, monkeypatch):
     assert got == want
 
 
-def test_probabilities_of_tokens_do_not_exceed_one():
-    """Codes are free of prefixes, so the scores of any tokens of a class add up to one at most."""
-    items = [b"\x00" + w for w in (b"the", b"then", b"a", b"ab", M.END, b"zz", b"\xc3\xa9")]
-    weights = np.array([50, 20, 30, 5, 40, 1, 2], float)
-    zeros, ones = (np.zeros(int(M.STARTS[-1]), np.float32) for _ in range(2))
-    M.count(items, weights, zeros, ones)
-    m = M.Mixer.new()
-    pairs = M.coded(zeros, ones)
-    m.learn(items, weights, pairs, np.tile(np.eye(M.ORDERS) * M.RIDGE, (M.GATES, 1, 1)))
-    p = 10 ** m.score([*items, b"\x00new", b"\x00thenx"], pairs)
-    assert 0 < p.sum() <= 1 + 1e-9
-    assert p[0] > p[5] > p[7]
+FULL, U32 = (1 << 64) - 1, (1 << 32) - 1
+
+
+def context_hashes(s: bytes, i: int) -> list[int]:
+    """Of the byte at i of a text, one at a time, from the text alone."""
+    last = [(s[i - k] + 1) << 9 * (k - 1) if i >= k else 0 for k in range(1, 6)]
+    three = sum(last[:3])
+    head = s.rfind(b" ", 0, i) + 1
+
+    def word(a, b):
+        x = sum((c + 1) * pow(0x100000001B3, k, 1 << 64) for k, c in enumerate(s[a:b]))
+        return (x * 0x9E3779B97F4A7C15 + (b - a)) & FULL
+
+    now, hint, previous = word(head, i), 0, 0
+    if head:
+        previous = word(s.rfind(b" ", 0, head - 1) + 1, head - 1) + 1
+        signs = [k for k in range(head) if s[k] >= 128]
+        if signs:
+            hint = (s[signs[-1]] + 1) | (s[signs[-1] - 1] + 1) << 9
+    out = []
+    for k, x in enumerate((three, sum(last), now + (hint + 7) * 0xD6E8FEB86659FD93, now + (previous + 3) * 0xA0761D6478BD642F)):
+        x &= FULL
+        x = ((x ^ x >> 31) * 0xBF58476D1CE4E5B9 + k) & FULL
+        out.append(((x ^ x >> 29) * 0x94D049BB133111EB & FULL) >> 32)
+    return out
+
+
+def coded_bits(s: bytes, model):
+    """For each bit: byte, bit, depth, slots."""
+    for i, c in enumerate(s):
+        pair = (s[i - 1] if i else 32) << 8 | c
+        hashes = context_hashes(s, i)
+        for at in range(int(model.code.start[pair]), int(model.code.start[pair] + model.code.length[pair])):
+            node = int(model.code.nodes[at])
+            yield i, int(model.code.bits[at]), int(model.code.depth[at]), [((h + node) & U32) * 0x9E3779B1 % (1 << 32) >> 32 - t for h, t in zip(hashes, model.powers)]
+
+
+def brute_score(s: bytes, model) -> float:
+    """A text's score, a bit at a time."""
+    tables, weights, refined = model.pairs.value, model.weights.astype(float).copy(), model.map.astype(float).copy()
+    total, moves, seen = 0.0, collections.Counter(), collections.defaultdict(list)
+    for n, (i, bit, depth, slots) in enumerate(coded_bits(s, model)):
+        if n and i // M.CHUNK != before // M.CHUNK:
+            for (k, g), x in moves.items():
+                weights[k, g] += x
+            for spot, bits in seen.items():
+                refined[spot] += sum(b - refined[spot] for b in bits) / (len(bits) + M.INERTIA)
+            moves, seen = collections.Counter(), collections.defaultdict(list)
+        before = i
+        pairs = [int(t[x]) for t, x in zip(tables, slots)]
+        x = [float(M.ODDS[p]) for p in pairs]
+        n_of = [float(M.COUNTS[p & 255] + M.COUNTS[p >> 8]) for p in pairs]
+        level = sum(round(n_of[M.WORD]) > t for t in M.KNOWN) * 3 + sum(round(n_of[M.NEXT]) > t for t in M.FOLLOWED)
+        gate = level * M.DEPTHS + depth
+        z = max(-M.CLIP, min(M.CLIP, sum(weights[k, gate] * x[k] for k in range(M.ORDERS))))
+        p = 1 / (1 + math.exp(-z))
+        spot = level * M.BINS + round((z + M.CLIP) * (M.BINS - 1) / 2 / M.CLIP)
+        both = min(max((p + refined[spot]) / 2, 1e-6), 1 - 1e-6)
+        total += math.log10(both if bit else 1 - both)
+        seen[spot].append(bit)
+        if abs(bit - p) > M.LITTLE:
+            for k in range(M.ORDERS):
+                moves[k, gate] += (bit - p) * M.OWN_RATE * x[k]
+    return total
+
+
+def test_scores_by_brute_force(spark):
+    docs = [(d, t.replace("q" * 4700, "") if t else t) for d, t in corpus()]
+    model = M.fit(spark.createDataFrame(docs, "doc_id long, text string"))
+    counts = [collections.Counter() for _ in range(M.ORDERS)]
+    for d, t in docs:
+        if M.learns(d):
+            for _, bit, _, slots in coded_bits(M.stream_of(M.tokens_of(t)), model):
+                for k, x in enumerate(slots):
+                    counts[k][x, bit] += 1
+    for k, table in enumerate(model.pairs.value):
+        want = np.zeros(len(table), np.uint16)
+        for x in {x for x, _ in counts[k]}:
+            want[x] = M.coded(np.array([counts[k][x, 0]]), np.array([counts[k][x, 1]]))[0]
+        assert (table == want).all()
+    streams = [M.stream_of(M.tokens_of(t)) for _, t in docs]
+    got = model.score(streams)
+    for i in [*range(0, 120, 15), 120, 121, 123, 124]:
+        assert math.isclose(got[i], brute_score(streams[i], model), rel_tol=2e-3), streams[i]
+    # a text's score is its own, whatever is scored beside it
+    assert np.allclose(got, [model.score([s])[0] for s in streams], rtol=1e-5)
+
+
+def test_very_long_texts_go_on_in_pieces(spark, monkeypatch):
+    docs = corpus()
+    model = M.fit(spark.createDataFrame(docs, "doc_id long, text string"))
+    long = M.stream_of(M.tokens_of(" ".join(t for _, t in docs if t)))
+    whole = model.score([long])[0]
+    monkeypatch.setattr(M, "PIECE", M.CHUNK * 40)
+    assert math.isclose(model.score([long, b" "])[0], whole, rel_tol=0.05)
+    assert sum(len(p) - s for p, s in M.pieces_of(long)) == len(long)
+
+
+def test_probabilities_add_up_to_one(spark):
+    """Of all bytes that can come first in a text, given the model."""
+    model = M.fit(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    total = sum(10 ** model.score([bytes([c])])[0] for c in range(256))
+    assert math.isclose(total, 1, rel_tol=1e-3)
+
+
+def test_copies_and_known_texts_cost_less(spark):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, 9))) for _ in range(60)) for _ in range(60)]
+    held = [i for i in range(3000) if not M.learns(i)]
+    learnt = [i for i in range(3000) if M.learns(i)]
+    rows = [*zip(learnt, texts), (held[0], texts[5]), (held[1], " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)))]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in M.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] < 0.5 * got[held[1]]
+
+
+@pytest.mark.parametrize("size", [1 << 10, 1 << 20, 1 << 28, 1 << 34])
+def test_slots_grow_with_the_input(size):
+    assert M.slot_bits(size)[-1] <= M.slot_bits(size * 16)[-1] <= M.MOST_BITS
+    assert size > 1 << 30 or M.slot_bits(size)[-1] < M.slot_bits(size * 256)[-1]
 
 
 def test_nothing_to_learn_from(spark):
     held = [i for i in range(50) if crc32(str(i).encode()) % 5 == 1][:3]
     docs = spark.createDataFrame([(i, "ab") for i in held], "doc_id long, text string")
     for r in M.score(docs).collect():
-        assert r["held_out"] and r["train_tokens"] == 0 and r["base_score"] == 0.0 and math.isclose(r["bits_per_byte"], 8.0, rel_tol=1e-6)
+        assert r["held_out"] and r["train_tokens"] == 0 and r["base_score"] == 0.0 and math.isclose(r["bits_per_byte"], 8.0, rel_tol=2e-2)
     assert M.score(docs.limit(0)).count() == 0
-
-
-def test_centres_are_fitted_on_all_learning_documents(spark):
-    ids = spark.range(8000).orderBy(F.xxhash64("id"), "id").collect()
-    ids = [r["id"] for r in ids if M.learns(r["id"])]
-    docs = spark.createDataFrame([(i, "apple pear" if n < 5000 else "zebra") for n, i in enumerate(ids)], "doc_id long, text string")
-    place = M._hashes([b"zebra"])[0]
-    assert np.exp(M._centres(docs)[:, place]).max() > 0.4
