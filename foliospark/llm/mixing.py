@@ -41,12 +41,12 @@ from foliospark.sources.runtime import ship, table
 
 CONTEXTS = ("three bytes", "five bytes", "word after hint", "word after word")
 ORDERS = len(CONTEXTS)
-#: Slots of the first contexts, as powers of two, at most; of all contexts at least and at most, see slot_bits(): at
-#: most, a learning task's tables take 400 MB.
-FEW_BITS, LEAST_BITS, MOST_BITS, PLENTY = (20,), 16, 24, 1 << 20
+#: Slots of the first contexts, as powers of two, at most; of all contexts at least, with plenty
+#: of text and at most, see slot_bits(): at most, a learning task's tables take 400 MB.
+FEW_BITS, LEAST_BITS, MANY_BITS, MOST_BITS, PLENTY = (20,), 16, 22, 24, 1 << 26
 #: Slots of a packed part; text that a learning task counts before it predicts on; bits of a step of learning; text
 #: that is scored side by side; input of a learning task, in bytes of files.
-PART, LEARN_BYTES, BATCH, SCORE_BYTES, TASK_BYTES = 1 << 16, 1 << 15, 1 << 12, 1 << 19, 20 << 20
+PART, LEARN_BYTES, BATCH, SCORE_BYTES, TASK_BYTES = 1 << 16, 1 << 15, 1 << 12, 1 << 17, 20 << 20
 PIECE, BEHIND, CHUNK = 1 << 18, 256, 32
 PRIOR, CLIP, BINS = 0.05, 12.0, 33
 #: How well the word so far is known, its sequence too; depths in the code.
@@ -95,9 +95,9 @@ def learns(doc_id: int | None) -> int:
 
 
 def slot_bits(size: int) -> list[int]:
-    """Slots of each context, as powers of two, for so many bytes of learning text: about four a byte, from PLENTY
-    bytes on by the square root of them, as vocabularies grow."""
-    bits = max(LEAST_BITS, min(size, PLENTY).bit_length() + 2)
+    """Slots of each context, as powers of two, for so many bytes of learning text: four a byte at first, beyond PLENTY
+    bytes by the square root of them, as vocabularies grow."""
+    bits = max(LEAST_BITS, min(MANY_BITS, (4 * size).bit_length()))
     most = min(MOST_BITS, bits + max(0, size.bit_length() - PLENTY.bit_length()) // 2)
     return [min(few, most) for few in FEW_BITS] + [most] * (ORDERS - len(FEW_BITS))
 
