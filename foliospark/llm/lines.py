@@ -7,8 +7,8 @@ narrow down. So lines meet by (length, segment number, substring), and a banded
 those that meet.
 
 DataFrame functions only. Keys are made for the first of equal lines alone, and texts move for those that meet alone.
-What is joined to all lines or documents is broadcast if it has BROADCAST_ROWS rows at most, by a count of the written
-table; larger tables are shuffled.
+What is joined to all lines or documents is broadcast if the written table's files have BROADCAST_BYTES at most; larger
+tables are shuffled.
 
 Null texts stay null and empty ones empty. Rows with one id and text are treated alike; a null id comes after all
 others. Empty tables give empty results. Other columns stay, whatever their names; a column of a result's name is
@@ -20,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.sources.runtime import table
+from foliospark.sources.runtime import plan_bytes, table
 
-LEAST, EDITS, BROADCAST_ROWS = 20, 2, 1_000_000
+LEAST, EDITS, BROADCAST_BYTES = 20, 2, 8 << 20
 SPACE = " \t\r\f\v"
 #: Letters whose counts, modulo 16, travel with the keys of crowded segments' lines: an edit changes their sum by two at most, so lines whose counts
 #: differ by more than that are not compared. Near copies share segments though they differ by whole words; without
@@ -45,8 +45,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _join(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
-    """right is a written table: broadcast if its count is within the bound."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right.hint("merge"), on, how)
+    """right is of a written table: broadcast if the bytes of its files are within the bound."""
+    return left.join(F.broadcast(right) if plan_bytes(right) <= BROADCAST_BYTES else right.hint("merge"), on, how)
 
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:

@@ -4,16 +4,19 @@ A document's set is its distinct shingles of so many words, hashed to 64 bits; w
 one shingle. Equal sets are one class from the start. Of each class, BANDS x ROWS minima over permutations of the
 hashes are taken: classes that share a band's minima meet. The samples are folded into a parity bitmap, the odd
 sketch; the population count of two sketches' XOR estimates their similarity, and pairs below the threshold go no
-further. A second bitmap folds the whole set, whose XOR tells small sets' differences almost exactly. What is left is confirmed on the full sets. A pair at the threshold misses all bands with a probability of
-(1 - 0.8 ** ROWS) ** BANDS, 8e-6; unrelated texts hardly ever meet.
+further. A second bitmap folds the whole set, whose XOR tells small sets' differences almost exactly. What is left is
+confirmed on the full sets. A pair at the threshold misses all bands with a probability of (1 - 0.8 ** ROWS) ** BANDS,
+8e-6; unrelated texts hardly ever meet.
 
 A bucket's pairs are not listed: ROUNDS times over, a bucket's members are held against one member, first that which
-meets most others over all bands, as the original of copies does, then others, which joins all that are near; members that are still apart after these rounds are held against all
-others of their buckets that they are not joined to yet, so no link is lost. Links become components by
-rounds of smallest neighbours, on tables.
-
-Null and empty texts, and texts without words, have empty sets and are linked with nothing. Repeated rows of one id
-are one document of the row with the larger set of hashes; a null id takes part as the largest. Empty tables give an
+meets most others over all bands, as the original of copies does, then others, which joins all that are near; members
+that are still apart after these rounds are held against all others of their buckets that they are not joined to yet,
+so no link is lost. Links become components by rounds of smallest neighbours, on tables.
+
+Each row has a result. Null and empty texts, and texts without words, have empty sets and are linked with nothing.
+Rows of one id are linked with each other if they have words. A null id stands for its row alone; such rows take part,
+but name no component: one without any id has none. Very long texts are sets as others are, held by one task at a time.
+Of members that tie, any may be held against a bucket's others; the links found are the same. Empty tables give an
 empty result. Columns other than the two named are not read.
 """
 
@@ -219,26 +222,32 @@ def components(links: DataFrame, tag: str = "neardup") -> DataFrame:
 
 
 def classes(docs: DataFrame, *, size: int = 5, threshold: int = 80, tag: str = "neardup") -> DataFrame:
-    """doc_id, n_shingles, component_id of docs (doc_id, text): components of links at threshold hundredths or more."""
+    """doc_id, n_shingles, component_id of docs (doc_id, text), a row each: components of links at threshold hundredths
+    or more."""
     ship(docs.sparkSession)
+    hashed = lambda t: F.xxhash64(t)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    signed = texts.withColumn("s", _signer(size)(F.col("text"))).select(key.alias("key"), "doc_id", "s.*")
+    # rows are numbered, as ids may be null or stand for several
+    signed = texts.withColumn("s", _signer(size)(F.col("text"))).select(F.monotonically_increasing_id().alias("row"), "doc_id", hashed("text").alias("th"), "s.*")
     signed = table(signed, "signatures", tag)
-    one = signed.groupBy("key").agg(F.max(F.struct("n", "set_a", "set_b")).alias("s"), F.first("doc_id").alias("doc_id")).select("key", "doc_id", "s.*")
-    member = table(one, "members", tag)
-    # equal sets are one class, named after its smallest document
-    named = table(member.where("n > 0").groupBy("set_a", "set_b").agg(F.min("key").alias("name")), "classes", tag)
-    bands = signed.where("n > 0").join(named, ["set_a", "set_b"]).where("key = name").select("name", F.posexplode("bands").alias("band", "value")).distinct()
-    bands = table(bands, "bands", tag)
+    # rows of equal sets are one class, named after its first row
+    several = signed.where("n > 0").groupBy("set_a", "set_b").agg(F.count("*").alias("m"), F.min("row").alias("first"), F.min("doc_id").alias("least"))
+    several = table(several.where("m > 1").drop("m"), "classes", tag)
+    classed = _join(signed, several, ["set_a", "set_b"], "left").withColumn("name", F.coalesce("first", "row")).withColumn("lead", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    led = table(classed.select("doc_id", "n", "name", "lead"), "members", tag)
+    ones = classed.where("n > 0 and row = name")
+    bands = table(ones.select("name", "n", F.posexplode("bands").alias("band", "value")), "bands", tag)
     crowd = table(bands.groupBy("band", "value").agg(F.count("*").alias("m")).where("m > 1"), "crowds", tag)
     shared = _join(bands, crowd, ["band", "value"], "inner")
     central = shared.groupBy("name").agg(F.sum("m").alias("central"))
-    met = table(shared.join(central, "name").join(signed.where("n > 0").groupBy("key").agg(F.max("n").alias("n")).withColumnRenamed("key", "name"), "name").select("band", "value", "name", "n", "central"), "buckets", tag)
+    met = table(shared.join(central, "name").select("band", "value", "name", "n", "central"), "buckets", tag)
     some = table(met.select("name", "n").distinct(), "candidates", tag)
-    sketches = table(_join(signed.select(F.col("key").alias("name"), "n", "sketch", "bands"), some, ["name", "n"], "inner").dropDuplicates(["name"]), "sketches", tag)
-    picked = table(_join(texts.select(key.alias("name"), "text"), some, "name", "inner"), "texts", tag)
-    known = table(picked.withColumn("set", _sets(size)(F.col("text"))).where(F.size("set") == F.col("n")).select("name", "set").dropDuplicates(["name"]), "sets", tag)
+    sketches = table(_join(ones.select("name", "n", "sketch", "bands", "doc_id", "th"), some.select("name"), "name", "inner"), "sketches", tag)
+    # a candidate's text is one of its id's with its hash
+    key = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key")
+    wanted = table(sketches.select(key, "th", "name", "n"), "wanted", tag)
+    picked = _join(texts.select(key, hashed("text").alias("th"), "text"), wanted, ["key", "th"], "inner").dropDuplicates(["name"])
+    known = table(table(picked, "texts", tag).withColumn("set", _sets(size)(F.col("text"))).where(F.size("set") == F.col("n")).select("name", "set"), "sets", tag)
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """Of distinct pairs (a, b) those whose sets are near enough."""
@@ -277,17 +286,30 @@ def classes(docs: DataFrame, *, size: int = 5, threshold: int = 80, tag: str = "
     cells = rest.select("band", "value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "name", "c", "n", "sketch", "bands")
     cells = cells.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j")
     pairs = cells.mapInArrow(_agreeing(threshold), "a long, b long").distinct()
-    joined = components(links.union(confirm(pairs, "rest")), tag)
-
-    whole = member.join(named, ["set_a", "set_b"], "left").join(joined, F.col("name") == F.col("node"), "left")
-    lead = F.when(F.col("n") == 0, F.col("key")).otherwise(F.coalesce("component", "name", "key"))
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(lead == (1 << 63) - 1, None).otherwise(lead).alias("component_id"))
+    found = confirm(pairs, "rest")
+    joined = components(links.union(found), tag)
+
+    # rows of one id are one document, whatever their texts
+    linked = led.where("n > 0 and doc_id is not null")
+    ids = linked.groupBy("doc_id").agg(F.min("name").alias("a"), F.max("name").alias("z")).where("a != z").select("doc_id", "a")
+    ids = table(ids, "ids", tag)
+    if ids.take(1):
+        joined = components(links.union(found).union(_join(linked, ids, "doc_id", "inner").select("a", F.col("name").alias("b"))), tag)
+    nodes = joined.union(joined.select("component", "component")).distinct()
+    leads = table(nodes.join(led.where("n > 0").groupBy("name").agg(F.min("lead").alias("lead")), F.col("node") == F.col("name")).select("name", "component", "lead"), "leads", tag)
+    top = leads.groupBy("component").agg(F.min("lead").alias("top"))
+    over = table(leads.join(top, "component").select("name", "top"), "tops", tag)
+    whole = _join(led, over, "name", "left")
+    lead = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("top", "lead"))
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), lead.alias("component_id"))
 
 
 def dedup(docs: DataFrame, *, size: int = 5, threshold: int = 80, tag: str = "neardup") -> DataFrame:
-    """docs whose id leads its class: one document of each group, its smallest id."""
-    gone = classes(docs, size=size, threshold=threshold, tag=tag).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(table(gone, "gone", tag), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """docs whose id leads its class: one document of each group, its smallest id. Rows of an id stay or go together; rows
+    without an id stay."""
+    found = classes(docs.select("doc_id", "text"), size=size, threshold=threshold, tag=tag)
+    gone = table(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone", tag)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.lines import BROADCAST_ROWS
+from foliospark.llm.lines import _join
 from foliospark.sources.runtime import scratch_path, ship, table
 
 ARCHIVE_BYTES, BLOCK, REVISIT = 16 << 20, 256, 100
@@ -97,8 +97,7 @@ def write(pages: DataFrame, root: str) -> Store:
     rows = pages.selectExpr("cast(page_id as long) as page_id", "cast(url as string) as url", "coalesce(cast(html as string), '') as html").withColumn("digest", F.sha2("html", 256))
     again = rows.where(F.octet_length("html") >= REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     again = table(again, "warc-repeated")
-    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again.hint("merge")
-    rows = rows.join(again, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    rows = _join(rows, again, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, size = TaskContext.get().partitionId(), 0, 0
@@ -175,8 +174,6 @@ def read(spark: SparkSession, store: Store) -> DataFrame:
     captures, by their ranges. A response's bytes and digest come from its payload."""
     ship(spark)
     ranges = table(entries(spark, store).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("ranges")), "warc-ranges")
-    count = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
-    ranges = F.broadcast(ranges) if count <= BROADCAST_ROWS else ranges.hint("merge")
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 
@@ -193,7 +190,7 @@ def read(spark: SparkSession, store: Store) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return _files(spark, store).join(ranges, "file").select("content", "ranges").mapInArrow(cut, schema)
+    return _join(_files(spark, store), ranges, "file", "inner").select("content", "ranges").mapInArrow(cut, schema)
 
 
 def capture(data: bytes) -> tuple:

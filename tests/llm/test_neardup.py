@@ -86,8 +86,41 @@ def test_components_of_chains(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and got[100] == 90 and got[95] == 90
 
 
+def brute_rows(rows, size):
+    """n_shingles and component of rows whose ids may be null or repeated."""
+    sets = [shingles(t, size) for _, t in rows]
+    lead = list(range(len(rows)))
+
+    def find(x):
+        while lead[x] != x:
+            x = lead[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            n = len(sets[i] & sets[j])
+            near = 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n)
+            if sets[i] and sets[j] and (near or rows[i][0] is not None and rows[i][0] == rows[j][0]):
+                lead[find(j)] = find(i)
+    out = []
+    for i, (d, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
+        out.append((str(d), len(sets[i]), min(ids, default=None) if sets[i] else d))
+    return sorted(out, key=str)
+
+
+def test_rows_without_ids_and_with_repeated_ids(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(vocab, k=40)) for _ in range(12)]
+    rows = [(5, texts[0]), (5, texts[1]), (2, texts[1]), (9, texts[0] + " tail"), (None, texts[2]), (None, texts[3]), (None, texts[3]), (7, texts[3]), (8, None), (8, texts[4]), (6, texts[4]), (3, texts[5]), (3, texts[5]), (None, None), (None, "")]
+    rows += [(rng.choice([None, *range(20, 26)]), rng.choice(texts[6:])) for _ in range(20)]
+    got = N.classes(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert sorted(((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_rows(rows, 2)
+
+
 def test_repeated_null_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["component_id"]) for r in N.classes(docs).collect())
-    assert got == [("1", 1), ("2", 2), ("None", 1)]
+    assert got == [("1", 1), ("1", 1), ("2", 2), ("None", 1)]
     assert N.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
