@@ -43,9 +43,16 @@ def insert_nbsp(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """A double as text without an exponent; whole numbers without a fraction."""
-    text = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
-    return F.when(c == F.round(c, 0), F.round(c, 0).cast("decimal(38,0)").cast("string")).otherwise(text)
+    """A double as its shortest text that reads back as the same, without an exponent; whole numbers without a fraction."""
+    text = c.cast("double").cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa, power = F.split_part(F.ltrim(text, F.lit("-")), F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "0+$", "")
+    n = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.when(n <= power + 1, F.rpad(digits, power + 1, "0")).otherwise(F.concat(F.left(digits, power + 1), F.lit("."), F.substr(digits, power + 2)))
+    plain = F.regexp_replace(text, r"\.0$", "")
+    return F.when(~text.contains("E"), plain).otherwise(F.concat(sign, F.when(power < 0, small).otherwise(large)))
 
 
 def decode(codes: Column, encoding: str) -> Column:

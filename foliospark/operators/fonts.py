@@ -25,17 +25,22 @@ def differences(elements: DataFrame) -> DataFrame:
     return placed.where("glyph is not null and place < 256").groupBy("font", F.col("place").cast("long").alias("code")).agg(F.max_by("glyph", "at").alias("glyph"))
 
 
+def _sign(cp: Column) -> Column:
+    """The sign of a code point, above U+FFFF too."""
+    return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+
+
 def decoded(code: Column, to_unicode: Column, encoding: Column) -> Column:
     """A code's text: by its map, then by an array of 256 code points; unassigned codes have none."""
     cp = F.get(encoding, code)
-    return F.coalesce(to_unicode[code], F.when(cp > 0, F.decode(F.unhex(F.lpad(F.hex(cp), 4, "0")), "UTF-16BE")).otherwise(""))
+    return F.coalesce(to_unicode[code], F.when(cp > 0, _sign(cp)).otherwise(""))
 
 
 def unicode_map(ranges: DataFrame) -> DataFrame:
     """font, code, text of ranges (font, at, low, high, target): later ranges win."""
     codes = ranges.select("font", "at", "target", F.posexplode(F.sequence("low", "high")).alias("i", "code"))
     last = codes.groupBy("font", "code").agg(F.max_by(F.col("target") + F.col("i"), "at").alias("cp"))
-    return last.select("font", "code", F.decode(F.unhex(F.lpad(F.hex("cp"), 4, "0")), "UTF-16BE").alias("text"))
+    return last.select("font", "code", _sign(F.col("cp")).alias("text"))
 
 
 def split_codes(b: Column) -> Column:

@@ -41,15 +41,16 @@ def colorspace(doc: Document, name: str, resources: dict) -> dict:
     return parsed(doc, spaces[name])
 
 
-def parsed(doc: Document, x, nested: int = 0) -> dict:
+def parsed(doc: Document, x, inside: tuple = ()) -> dict:
+    """inside: the spaces that this one is the alternate of; one that is its own is not supported."""
     x = doc.get(x)
     if isinstance(x, Name):
         return {"kind": DEVICE.get(str(x), "unsupported")}
-    if not isinstance(x, list) or not x or nested > 4:
+    if not isinstance(x, list) or not x or any(x is y for y in inside):
         return {"kind": "unsupported"}
     kind = str(doc.get(x[0]))
     if kind == "Separation":
-        alternate = parsed(doc, x[2], nested + 1)
+        alternate = parsed(doc, x[2], (*inside, x))
         return {"kind": kind, "name": str(doc.get(x[1])), "alternate": alternate["kind"], "tint": function(doc, x[3])}
     if kind == "ICCBased":
         return {"kind": kind, "icc": doc.decoded(doc.get(x[1]))}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from foliospark.functions import tables
+from foliospark.functions import metrics, tables
 from foliospark.pdf.objects import Document, Lexer, Name, PdfError, Stream
 
 #: Fonts of icons: names that stand for no sign are let be.
@@ -24,7 +24,9 @@ def cmap(data: bytes) -> dict:
                 out["chars"][number(code)] = _utf16(text)
         elif kind == b"bfrange":
             for low, high, text in zip(items[::3], items[1::3], items[2::3], strict=False):
-                for k in range(min(number(high) - number(low) + 1, 1 << 16)):
+                if number(high) - number(low) >= 1 << 24:
+                    raise PdfError("CMap", "a range of more codes than there are signs")
+                for k in range(number(high) - number(low) + 1):
                     if isinstance(text, list):
                         if k < len(text):
                             out["chars"][number(low) + k] = _utf16(text[k])
@@ -47,14 +49,15 @@ def _utf16(text) -> str:
 
 
 class Font:
-    """mode: compat keeps the quirks of range widths and CID numbering, intent follows the specification."""
+    """mode: compat keeps the quirks of range widths and CID numbering, intent follows the specification. names: glyph
+    names and their code points, if not the built-in ones."""
 
-    def __init__(self, doc: Document, head: dict, mode: str = "compat", glyphs: str | None = None):
+    def __init__(self, doc: Document, head: dict, mode: str = "compat", names: dict[str, int] | None = None):
         self.doc, self.head, self.mode = doc, head, mode
         get = doc.get
         self.subtype, self.base = str(get(head.get("Subtype"))), str(get(head.get("BaseFont")) or "")
         self.bold = "bold" in repr({k: v for k, v in head.items()}).lower()
-        self.names = tables.glyph_names(glyphs)
+        self.names = tables.glyph_names() if names is None else names
         self.to_unicode = self._unicode_map()
         self.encoding: list[int] | None = None
         self.widths: dict[int, float] = {}
@@ -103,10 +106,15 @@ class Font:
             if isinstance(last, int) and last - first + 1 != len(widths):
                 raise PdfError("Widths", "the number of widths doesn't match")
             self.widths = {first + i: float(get(w)) for i, w in enumerate(widths)}
-        elif self.base in tables.CORE_FONTS:
-            by = tables.core_widths(self.base)
-            codes = self.encoding or tables.encoding("WinAnsiEncoding")
-            self.widths = {code: float(by[cp]) for code, cp in enumerate(codes) if cp in by}
+        elif self.base in metrics.CORE_FONTS:
+            if self.encoding is None:
+                # the font's own codes
+                own = metrics.core_codes(self.base)
+                self.encoding = [own[code][0] if code in own else 0 for code in range(256)]
+                self.widths = {code: float(width) for code, (_, width) in own.items()}
+            else:
+                by = metrics.core_widths(self.base)
+                self.widths = {code: float(by[cp]) for code, cp in enumerate(self.encoding) if cp in by}
         else:
             raise PdfError("Widths", "no widths")
         missing = get(head.get("MissingWidth"))
@@ -178,6 +186,8 @@ class Font:
                 return
 
     def width(self, code: int) -> float:
+        if self.subtype == "Type3" and code not in self.widths:
+            raise PdfError("Widths", f"no width of code {code}")
         return self.widths.get(code, self.missing)
 
     def text(self, code: int) -> str:
@@ -185,5 +195,5 @@ class Font:
             return self.to_unicode[code]
         if self.subtype == "Type0":
             return ""
-        table = self.encoding or (tables.encoding("WinAnsiEncoding") if self.base in tables.CORE_FONTS else tables.encoding("PDFDocEncoding"))
+        table = self.encoding or tables.encoding("PDFDocEncoding")
         return chr(table[code]) if table[code] else ""

@@ -13,7 +13,6 @@ from foliospark.pdf.fonts import Font
 from foliospark.pdf.objects import Document, Name, PdfError, Stream, operations
 
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-MOST_NESTED = 16
 
 
 def times(m: tuple, n: tuple) -> tuple:
@@ -73,8 +72,8 @@ def number(x) -> float:
 
 
 class Interpreter:
-    def __init__(self, doc: Document, page: Page, mode: str = "compat", glyphs: bool = False, fonts: dict | None = None):
-        self.doc, self.page, self.mode, self.trace, self.fonts = doc, page, mode, glyphs, {} if fonts is None else fonts
+    def __init__(self, doc: Document, page: Page, mode: str = "compat", glyphs: bool = False, fonts: dict | None = None, names: dict[str, int] | None = None):
+        self.doc, self.page, self.mode, self.trace, self.fonts, self.names = doc, page, mode, glyphs, {} if fonts is None else fonts, names
 
     def font(self, resources: dict, name: str) -> Font:
         ref = self.doc.dict(resources.get("Font")).get(name)
@@ -82,7 +81,7 @@ class Interpreter:
             raise PdfError("Font", f"font {name} is missing")
         key = (ref, self.mode) if not isinstance(ref, dict) else id(ref)
         if key not in self.fonts:
-            self.fonts[key] = Font(self.doc, self.doc.dict(ref), self.mode)
+            self.fonts[key] = Font(self.doc, self.doc.dict(ref), self.mode, self.names)
         return self.fonts[key]
 
     def run(self, content: bytes, resources: dict, nested: int = 0, inside: frozenset = frozenset()) -> None:
@@ -243,7 +242,7 @@ class Interpreter:
                 case "Do" if args and isinstance(args[0], Name):
                     ref = self.doc.dict(resources.get("XObject", {})).get(str(args[0]))
                     form = self.doc.get(ref)
-                    if isinstance(form, Stream) and self.doc.get(form.head.get("Subtype")) != "Image" and nested < MOST_NESTED and ref not in inside:
+                    if isinstance(form, Stream) and self.doc.get(form.head.get("Subtype")) != "Image" and ref not in inside:
                         own = self.doc.get(form.head.get("Resources"))
                         self.run(self.doc.decoded(form), own if isinstance(own, dict) else resources, nested + 1, inside | {ref})
         if text and x > 0 and y > 0:

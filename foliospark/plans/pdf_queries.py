@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import strings as S
 from foliospark.sources import pdf
-from foliospark.sources.runtime import ship
+from foliospark.sources.runtime import plan_bytes, ship
+
+#: Texts of a task, in bytes of files.
+TASK_BYTES = 8 << 20
 
 
 def files(s: SparkSession, d: str) -> DataFrame:
@@ -23,7 +26,8 @@ def files(s: SparkSession, d: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([from_text(t or "", title=f"document {i}") for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.binary())], names=["path", "content"])
 
     # interpreting costs far more than moving texts, so they are dealt evenly whatever the table's files are
-    texts = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), "text").repartition(s.sparkContext.defaultParallelism)
+    texts = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), "text")
+    texts = texts.repartition(max(s.sparkContext.defaultParallelism, plan_bytes(texts) // TASK_BYTES))
     return texts.mapInArrow(write, "path long, content binary")
 
 
@@ -43,7 +47,7 @@ def _plain(s: SparkSession, d: str) -> DataFrame:
 
 def _segments(s: SparkSession, d: str) -> DataFrame:
     rows = _parsed(s, d, "segments")
-    return rows.select("doc_id", "page_num", F.length(F.regexp_replace("content", r"(?U)\s+", "")).alias("n"), "transformed_font_size", "x", "cutat")
+    return rows.select("doc_id", "page_num", F.sha2(S.collapse(F.col("content")), 256).alias("sha256"), "transformed_font_size", "x", "cutat")
 
 
 QUERIES = {
@@ -62,7 +66,7 @@ ORACLES = {
     "src_roundtrip": f"SELECT doc_id, {_TEXT} FROM documents",
     "page_count": f"SELECT doc_id, {_PAGES} AS pages, 612.0::DOUBLE AS width FROM documents",
     "doc_info": f"SELECT doc_id, '1.4' AS version, 'document ' || doc_id AS title, {_PAGES} AS pages FROM documents",
-    "segments_roundtrip": """SELECT doc_id, (p + 1)::INT AS page_num, length(regexp_replace(array_to_string(ls[p * 50 + 1:p * 50 + 50], ' '), '\\s+', '', 'g'))::INT AS n, 12.0::DOUBLE AS transformed_font_size, 72.0::DOUBLE AS x, 'final' AS cutat
+    "segments_roundtrip": """SELECT doc_id, (p + 1)::INT AS page_num, sha256(trim(regexp_replace(array_to_string(ls[p * 50 + 1:p * 50 + 50], ' '), '\\s+', ' ', 'g'))) AS sha256, 12.0::DOUBLE AS transformed_font_size, 72.0::DOUBLE AS x, 'final' AS cutat
       FROM (SELECT doc_id, ls, unnest(range(0, (len(ls) + 49) // 50)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))""",
     "plain_text": f"SELECT doc_id, {_TEXT} FROM documents",
     "op_histogram": f"""WITH n AS (SELECT sum(len(string_split(text, chr(10))))::BIGINT AS l, sum({_PAGES})::BIGINT AS p FROM documents)

@@ -1,17 +1,19 @@
 """PDF files as tables. A kernel over Arrow batches interprets pages; what is wrong with a file becomes a row of errors.
 
-`what` picks the columns: segments, glyphs, paths, pages, info, ops or fields. Files are (path, content) rows: of
+`what` picks the columns: segments, glyphs, paths, pages, fonts, info, ops or fields. Files are (path, content) rows: of
 spark.read.format("binaryFile"), of a stream of it, or of any frame with a binary column.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.functions import tables
 from foliospark.operators import forms, render
 from foliospark.operators import segments as G
 from foliospark.sources.runtime import ship, table
@@ -24,7 +26,8 @@ SCHEMAS = {
     "segments": f"{_COMMON}, page_num int, seg_no int, content string, font_name string, font_size double, transformed_font_size double, x double, y double, is_bold boolean, cutat string",
     "glyphs": f"{_COMMON}, page_num int, op_no int, glyph_no int, text string, w0 double, spacing double, size double, a double, b double, c double, d double, e double, f double, x double, y double, visible boolean",
     "paths": f"{_COMMON}, page_num int, op_no int, painted string, space string, tint array<double>, width double, a double, b double, c double, d double, e double, f double, ops array<struct<op:string;args:array<double>>>",
-    "pages": f"{_COMMON}, page_num int, llx double, lly double, urx double, ury double",
+    "pages": f"{_COMMON}, page_num int, llx double, lly double, urx double, ury double, art_llx double, art_lly double, art_urx double, art_ury double",
+    "fonts": f"{_COMMON}, page_num int, resource string, type string, subtype string, base_font string, name string, encoding string, descriptor string, widths array<double>",
     "info": f"{_COMMON}, version string, info map<string,string>, page_count int",
     "ops": f"{_COMMON}, page_num int, op string, n long",
     "fields": f"{_COMMON}, n int, ft string, ff int, name string, values array<string>, options array<string>",
@@ -64,19 +67,41 @@ def _fields(doc) -> Iterator[tuple]:
         queue += doc.get(f.get("Kids")) or []
 
 
-def _rows(data: bytes, what: str, password: bytes, wanted: tuple[int, int] | None, mode: str) -> Iterator[tuple]:
+def _fonts(doc, resources) -> Iterator[tuple]:
+    """What a page's fonts say of themselves."""
+    named = lambda x: str(x) if x is not None and not isinstance(x, dict) else None
+    for resource, ref in sorted(doc.dict(doc.dict(resources).get("Font") or {}).items()):
+        f = doc.dict(ref)
+        get = lambda key: doc.get(f.get(key))  # noqa: B023, E731
+        encoding, widths, descriptor = get("Encoding"), get("Widths"), get("FontDescriptor")
+        encoding = doc.get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else encoding
+        numbers = [float(v) for w in widths if isinstance(v := doc.get(w), (int, float))] if isinstance(widths, list) else None
+        name = doc.get(descriptor.get("FontName")) if isinstance(descriptor, dict) else None
+        yield str(resource), named(get("Type")), named(get("Subtype")), named(get("BaseFont")), named(get("Name")), named(encoding), named(name), numbers
+
+
+def _rows(data: bytes, what: str, password: bytes, wanted: tuple[int, int] | None, mode: str, names: dict[str, int] | None = None) -> Iterator[tuple]:
+    for _, row in _views(data, (what,), password, wanted, mode, names):
+        yield row
+
+
+def _views(data: bytes, whats: tuple[str, ...], password: bytes, wanted: tuple[int, int] | None, mode: str, names: dict[str, int] | None = None) -> Iterator[tuple[str, tuple]]:
+    """Rows of one view or several, each with its view's name. A file is read once, a page interpreted once."""
     from foliospark.pdf.interpreter import Interpreter, Page
     from foliospark.pdf.objects import Document, PdfError
 
     doc = Document(data, password)
-    if what == "fields":
-        yield from _fields(doc)
+    if "fields" in whats:
+        yield from (("fields", r) for r in _fields(doc))
+    if whats == ("fields",):
         return
     pages = doc.pages()
-    if what == "info":
+    if "info" in whats:
         info = doc.get(doc.trailer.get("Info")) if "Info" in doc.trailer else None
         version = data[data.find(b"%PDF-") + 5 :][:3].decode("latin-1")
-        yield version, [(k, _text(doc.get(v))) for k, v in (info or {}).items() if isinstance(doc.get(v), bytes)], len(pages)
+        yield "info", (version, [(k, _text(doc.get(v))) for k, v in (info or {}).items() if isinstance(doc.get(v), bytes)], len(pages))
+    drawn = set(whats) & {"segments", "ops", "paths", "glyphs"}
+    if not drawn and not set(whats) & {"pages", "fonts"}:
         return
     fonts: dict = {}
     for num, page in enumerate(pages, 1):
@@ -86,23 +111,29 @@ def _rows(data: bytes, what: str, password: bytes, wanted: tuple[int, int] | Non
         if not isinstance(box, list) or len(box) < 4:
             raise PdfError("MediaBox", f"page {num} has no media box")
         out = Page(tuple(float(doc.get(v)) for v in box[:4]), num)
-        if what == "pages":
-            yield num, *out.box
-            continue
+        if "pages" in whats:
+            art = doc.get(page.get("ArtBox"))
+            corners = [float(doc.get(v)) for v in art[:4]] if isinstance(art, list) and len(art) >= 4 else [None] * 4
+            yield "pages", (num, *out.box, *corners)
         resources = doc.get(page.get("Resources"))
-        Interpreter(doc, out, mode, what in ("glyphs", "paths"), fonts).run(doc.content(page), resources if isinstance(resources, dict) else {})
-        if what == "segments":
+        resources = resources if isinstance(resources, dict) else {}
+        if "fonts" in whats:
+            yield from (("fonts", (num, *r)) for r in _fonts(doc, resources))
+        if not drawn:
+            continue
+        Interpreter(doc, out, mode, bool(drawn & {"glyphs", "paths"}), fonts, names).run(doc.content(page), resources)
+        if "segments" in drawn:
             for n, s in enumerate(out.segments):
-                yield num, n, *(s[k] for k in ("content", "font_name", "font_size", "transformed_font_size", "x", "y", "is_bold", "cutat"))
-        elif what == "ops":
-            yield from ((num, op, n) for op, n in sorted(out.counts.items()) if op)
-        elif what == "paths":
-            yield from ((num, *p[:-1], [{"op": op, "args": v} for op, v in p[-1]]) for p in out.paths)
-        else:
-            yield from ((num, *g) for g in out.glyphs)
+                yield "segments", (num, n, *(s[k] for k in ("content", "font_name", "font_size", "transformed_font_size", "x", "y", "is_bold", "cutat")))
+        if "ops" in drawn:
+            yield from (("ops", (num, op, n)) for op, n in sorted(out.counts.items()) if op)
+        if "paths" in drawn:
+            yield from (("paths", (num, *p[:-1], [{"op": op, "args": v} for op, v in p[-1]])) for p in out.paths)
+        if "glyphs" in drawn:
+            yield from (("glyphs", (num, *g)) for g in out.glyphs)
 
 
-def kernel(what: str, password: str | None = None, pages: tuple[int, int] | None = None, mode: str = "PERMISSIVE", compat: str = "compat") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def kernel(what: str, password: str | None = None, pages: tuple[int, int] | None = None, mode: str = "PERMISSIVE", compat: str = "compat", names: dict[str, int] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function over batches (doc_id, content)."""
     width = SCHEMAS[what].count(",") + 1 - 4 - (what == "info")
     secret = (password or "").encode()
@@ -113,7 +144,7 @@ def kernel(what: str, password: str | None = None, pages: tuple[int, int] | None
             for doc_id, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows: list[tuple] = []
                 try:
-                    rows = [(doc_id, "ok", None, None, *r) for r in _rows(content.as_py() or b"", what, secret, pages, compat)]
+                    rows = [(doc_id, "ok", None, None, *r) for r in _rows(content.as_py() or b"", what, secret, pages, compat, names)]
                 except Exception as e:  # noqa: BLE001  a file may be broken in any way; what broke is reported
                     if mode == "FAILFAST":
                         raise
@@ -133,11 +164,56 @@ def _arrow(what: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in fields])
 
 
-def parse(files: DataFrame, what: str = "segments", *, doc_id: str = "path", content: str = "content", password: str | None = None, pages: tuple[int, int] | None = None, mode: str = "PERMISSIVE", compat: str = "compat") -> DataFrame:
+def _glyph_list(spark: SparkSession, path: str | None) -> dict[str, int] | None:
+    """The built-in glyph names and those of a file of `name;hex` lines, wherever Spark reads it: some thousands."""
+    if path is None:
+        return None
+    out = dict(tables.glyph_names())
+    for r in spark.read.text(path).where("value not like '#%' and value like '%;%'").collect():
+        name, _, code = r["value"].strip().partition(";")
+        out.setdefault(name, int(code.split()[-1], 16))
+    return out
+
+
+def parse(files: DataFrame, what: str = "segments", *, doc_id: str = "path", content: str = "content", password: str | None = None, pages: tuple[int, int] | None = None, mode: str = "PERMISSIVE", compat: str = "compat", glyph_list: str | None = None) -> DataFrame:
     """Files to rows of SCHEMAS[what]. pages: first and last page to take, found before anything is interpreted. mode:
-    PERMISSIVE makes a broken file a row of status error, DROPMALFORMED leaves it out, FAILFAST fails."""
+    PERMISSIVE makes a broken file a row of status error, DROPMALFORMED leaves it out, FAILFAST fails. glyph_list: path
+    of a file of further glyph names, `name;hex` lines."""
     ship(files.sparkSession)
-    return files.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content")).mapInArrow(kernel(what, password, pages, mode, compat), SCHEMAS[what].replace(";", ","))
+    names = _glyph_list(files.sparkSession, glyph_list)
+    return files.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content")).mapInArrow(kernel(what, password, pages, mode, compat, names), SCHEMAS[what].replace(";", ","))
+
+
+def parse_views(files: DataFrame, whats: tuple[str, ...], **options) -> dict[str, DataFrame]:
+    """Several views by one reading of each file: rows without errors, written once, as each view's rows come out of the
+    same interpreted pages."""
+    options = dict(options)
+    doc_id, content = options.pop("doc_id", "path"), options.pop("content", "content")
+    ship(files.sparkSession)
+    names = _glyph_list(files.sparkSession, options.pop("glyph_list", None))
+    secret, pages, compat, mode = (options.get("password") or "").encode(), options.get("pages"), options.get("compat", "compat"), options.get("mode", "PERMISSIVE")
+    plain = {w: [f for f in _arrow(w)][4:] for w in whats}
+    kinds = {w: pa.struct(plain[w]) for w in whats}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    found = list(_views(data.as_py() or b"", whats, secret, pages, compat, names))
+                except Exception:  # noqa: BLE001  a broken file has no rows here; errors() tells
+                    if mode == "FAILFAST":
+                        raise
+                    continue
+                for at in range(0, len(found), 50_000):
+                    part = found[at : at + 50_000]
+                    columns = [pa.array([dict(zip((f.name for f in plain[w]), r, strict=True)) if w == v else None for v, r in part], kinds[w]) for w in whats]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), *columns], names=["doc_id", *whats])
+
+    fields = {w: SCHEMAS[w].removeprefix(_COMMON + ", ").replace(";", ",") for w in whats}
+    typed = {w: "struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2: ", fields[w]) + ">" for w in whats}
+    rows = files.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content).alias("content")).mapInArrow(run, "doc_id string, " + ", ".join(f"{w} {typed[w]}" for w in whats))
+    rows = table(rows, "views")
+    return {w: rows.where(F.col(w).isNotNull()).select("doc_id", f"{w}.*") for w in whats}
 
 
 def read_pdf(spark: SparkSession, path: str, what: str = "segments", **options) -> DataFrame:
@@ -156,12 +232,12 @@ def errors(rows: DataFrame) -> DataFrame:
 
 
 def chunks(files: DataFrame, **options) -> DataFrame:
-    """Heading-aware chunks of files, after the form's text where there is a form. Segments are written once, as
-    statistics and levels both read them and interpreting pages is what costs."""
-    found = table(good(parse(files, "segments", **options)), "segments")
+    """Heading-aware chunks of files, after the form's text where there is a form. Files are read once; what they hold is
+    written, as statistics and levels both read it and interpreting pages is what costs."""
+    views = parse_views(files, ("segments", "fields"), **options)
+    found = views["segments"]
     out = G.assemble(G.classify(found, G.doc_stats(found)))
-    fields = good(parse(files, "fields", **options))
-    return G.with_forms(out, forms.form_text(forms.states(fields)))
+    return G.with_forms(out, forms.form_text(forms.states(views["fields"])))
 
 
 def extract_text(files: DataFrame, **options) -> DataFrame:
@@ -180,17 +256,20 @@ def _bodies(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def svg(files: DataFrame, **options) -> DataFrame:
     """doc_id, page_num, svg: filled paths of each page."""
-    fills = good(parse(files, "paths", **options)).where("painted = 'fill'")
+    views = parse_views(files, ("paths", "pages"), **options)
+    fills = views["paths"].where("painted = 'fill'")
     padded = F.transform("ops", lambda o: F.struct(o["op"].alias("op"), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.coalesce(F.get(o["args"], i), F.lit(0.0))).alias("args")))
     bodies = _bodies(fills.select("doc_id", "page_num", "op_no", render.svg_path(padded, [F.col(c) for c in "abcdef"]).alias("fragment")), ["op_no"])
-    pages = good(parse(files, "pages", **options))
-    return pages.join(bodies, ["doc_id", "page_num"], "left").select("doc_id", "page_num", render.svg_page(F.col("llx"), F.col("lly"), F.col("urx"), F.col("ury"), F.coalesce("body", F.lit(""))).alias("svg"))
+    box = [F.col(c) for c in ("llx", "lly", "urx", "ury")]
+    body, art = F.coalesce("body", F.lit("")), tuple(F.col(f"art_{c}") for c in ("llx", "lly", "urx", "ury"))
+    page = F.when(art[0].isNull(), render.svg_page(*box, body)).otherwise(render.svg_page(*box, body, art))
+    return views["pages"].join(bodies, ["doc_id", "page_num"], "left").select("doc_id", "page_num", page.alias("svg"))
 
 
 def html(files: DataFrame, **options) -> DataFrame:
-    """doc_id, page_num, html: runs of glyphs as placed divisions, after a red one for each glyph. Glyphs are written
-    once, as runs are read twice."""
-    g = table(good(parse(files, "glyphs", **options)), "glyphs").withColumn("top", F.col("y"))
+    """doc_id, page_num, html: runs of glyphs as placed divisions, after a red one for each glyph."""
+    views = parse_views(files, ("glyphs", "pages"), **options)
+    g = views["glyphs"].withColumn("top", F.col("y"))
     area: Column = (F.col("a") + F.col("c")) * (F.col("b") + F.col("d"))
     shown = F.sqrt(F.greatest(area, F.lit(0.0))) * F.abs("size")
     # runs follow the matrix, whose y grows upwards
@@ -204,5 +283,5 @@ def html(files: DataFrame, **options) -> DataFrame:
     # a run is written when the next one's first glyph comes, before that glyph
     numbered = single.withColumn("run", F.col("run") * 2).unionByName(flushed.withColumn("run", F.col("run") * 2 + 1))
     bodies = _bodies(numbered, ["run", "kind", "op_no", "glyph_no"])
-    pages = good(parse(files, "pages", **options))
+    pages = views["pages"]
     return pages.join(bodies, ["doc_id", "page_num"], "left").select("doc_id", "page_num", render.html_page(F.col("page_num"), F.col("urx") - F.col("llx"), F.col("ury") - F.col("lly"), F.coalesce("body", F.lit(""))).alias("html"))

@@ -9,6 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from foliospark.functions import strings as S
+from foliospark.operators import fonts as P
 from foliospark.operators import forms, layout, render
 from foliospark.operators import segments as G
 from foliospark.pdf import writer
@@ -63,6 +64,28 @@ def fold(rows):
     return out
 
 
+def test_numbers_of_any_size(spark):
+    values = (1 / 3, 1e-11, 0.1 + 0.2, -1.5e-7, 123456789.125, 1e22, -2.5e15, 0.0, 1e300)
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(S.number(F.col("x"))).collect()]
+    assert got == ["0.3333333333333333", "0.00000000001", "0.30000000000000004", "-0.00000015", "123456789.125", "1" + "0" * 22, "-2500000000000000", "0", "1" + "0" * 300]
+
+
+def test_signs_above_the_basic_plane(spark):
+    ranges = spark.createDataFrame([(1, 0, 5, 6, 0x1F600)], "font int, at int, low int, high int, target int")
+    assert sorted(r["text"] for r in P.unicode_map(ranges).collect()) == ["\U0001f600", "\U0001f601"]
+
+
+def test_glyph_list_of_a_file_and_several_views(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("# names\nnosuch;0416\n")
+    from foliospark.pdf import writer
+
+    data = writer.document([b"BT /F1 10 Tf 72 720 Td (A) Tj ET"], fonts={"F1": b"<< /Type /Font /Subtype /Type1 /BaseFont /Own /FirstChar 65 /LastChar 65 /Widths [500] /Encoding << /Differences [65 /nosuch] >> >>"})
+    files = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"broken"))], "path string, content binary")
+    views = pdf.parse_views(files, ("segments", "pages"), glyph_list=str(tmp_path / "names.txt"))
+    assert [(r["doc_id"], r["content"]) for r in views["segments"].collect()] == [("a", "Ж")]
+    assert [(r["doc_id"], r["urx"], r["art_llx"]) for r in views["pages"].collect()] == [("a", 612.0, None)]
+
+
 def test_chunks_against_a_loop(spark):
     rng, docs, data = random.Random(1), {}, []
     for d in range(30):

@@ -195,7 +195,7 @@ def test_aes_256_handler(r):
 
 def test_inherited_boxes_and_pages():
     data = writer.document([b"BT ET", b"BT ET"], box=b"[0 0 100 200]")
-    assert [r for r in _rows(data, "pages", b"", None, "compat")] == [(1, 0.0, 0.0, 100.0, 200.0), (2, 0.0, 0.0, 100.0, 200.0)]
+    assert [r[:5] for r in _rows(data, "pages", b"", None, "compat")] == [(1, 0.0, 0.0, 100.0, 200.0), (2, 0.0, 0.0, 100.0, 200.0)]
     assert [r[0] for r in _rows(data, "pages", b"", (2, 2), "compat")] == [2]
     with pytest.raises(PdfError, match="media box"):
         list(_rows(data.replace(b"/MediaBox", b"/MediaFox"), "pages", b"", None, "compat"))
@@ -250,3 +250,47 @@ def test_sampled_functions_have_defaults():
     doc = Document(data)
     f = function(doc, Lexer(b"3 0 R").next())
     assert (f["encode"], f["decode"], f["samples"]) == ([0.0, 1.0], [0.0, 1.0], b"\x00\xff")
+
+
+def _standard(base: str, text: bytes, more: bytes = b"") -> list[tuple]:
+    fonts = {"F1": b"<< /Type /Font /Subtype /Type1 /BaseFont /" + base.encode() + more + b" >>"}
+    return [(g[3], round(g[4] * 1000)) for g in _rows(writer.document([b"BT /F1 10 Tf 72 720 Td <" + text.hex().encode() + b"> Tj ET"], fonts=fonts), "glyphs", b"", None, "compat")]
+
+
+def test_standard_fonts_have_codes_of_their_own():
+    assert _standard("Helvetica", b"A'`\xa9\xae\xb7") == [("A", 667), ("’", 222), ("‘", 222), ("'", 191), ("ﬁ", 500), ("•", 350)]
+    assert _standard("Times-Italic", b"A\xd0\xfa") == [("A", 611), ("—", 889), ("œ", 667)]
+    assert _standard("Courier-Bold", b"iW\xe1") == [("i", 600), ("W", 600), ("Æ", 600)]
+    assert _standard("Symbol", b"abW\xa0") == [("α", 631), ("β", 549), ("\u2126", 768), ("€", 750)]
+    assert _standard("ZapfDingbats", b"!%4l\xa8\xac\xd4\xd5") == [("✁", 974), ("☎", 719), ("✔", 755), ("●", 791), ("♣", 776), ("①", 788), ("➔", 894), ("→", 838)]
+
+
+def test_standard_fonts_with_an_encoding():
+    win = b" /Encoding /WinAnsiEncoding"
+    assert _standard("Helvetica", b"'\xe9\xed\x80\xa9\xb5", win) == [("'", 191), ("é", 556), ("í", 278), ("€", 556), ("©", 737), ("µ", 556)]
+    assert _standard("Times-Roman", b"\xe9\xdf\xb1", win) == [("é", 444), ("ß", 500), ("±", 564)]
+    assert _standard("Helvetica", b"0\x57", b" /Encoding /MacExpertEncoding") == [("\uf730", 0), ("ﬁ", 500)]
+
+
+def test_glyph_names_by_rule():
+    names = tables.glyph_names()
+    want = {"alpha": 0x3B1, "Omega": 0x2126, "iotadieresistonos": 0x390, "afii10017": 0x410, "afii10097": 0x44F, "Acyrillic": 0x410, "ff": 0xFB00, "ffi": 0xFB03, "arrowright": 0x2192, "Acircumflexacute": 0x1EA4, "akatakana": 0x30A2, "asmallhiragana": 0x3041, "onecircle": 0x2460, "Asmall": 0xF761, "Eacutesmall": 0xF7E9, "zerooldstyle": 0xF730, "foursuperior": 0x2074, "onesuperior": 0xB9, "afii57664": 0x5D0, "exclammonospace": 0xFF01, "fivemonospace": 0xFF15, "scommaaccent": 0x219, "dcroat": 0x111, "Lambda": 0x39B, "lambda": 0x3BB}
+    assert {n: names.get(n) for n in want if want[n]} == {n: c for n, c in want.items() if c}
+    assert len(names) > 1500 and all(0 < c < 0x10000 for c in names.values())
+
+
+def test_type3_codes_without_a_width_are_errors():
+    fonts = {"F1": b"<< /Type /Font /Subtype /Type3 /FirstChar 97 /LastChar 98 /Widths [500 500] /Encoding << /Differences [97 /a /b] >> >>"}
+    with pytest.raises(PdfError, match="width"):
+        segments(b"BT /F1 10 Tf 72 720 Td (abc) Tj ET", fonts=fonts)
+
+
+def test_deeply_nested_forms():
+    forms = [writer.stream(b"/X1 Do" if n < 39 else b"BT /F1 12 Tf 72 300 Td (inmost) Tj ET", b"/Type /XObject /Subtype /Form /Resources << /Font << /F1 << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >> >> /XObject << /X1 %d 0 R >> >>" % (n + 4)) for n in range(40)]
+    assert [s["content"] for s in segments(b"/X1 Do", extra=forms, resources=b"/XObject << /X1 3 0 R >>")] == ["inmost"]
+
+
+def test_fonts_and_boxes_of_pages():
+    data = writer.document([b"BT ET"], fonts={"F1": b"<< /Type /Font /Subtype /Type1 /BaseFont /Own /Name /N /FirstChar 65 /Widths [500 600.5] /Encoding << /BaseEncoding /WinAnsiEncoding >> /FontDescriptor << /FontName /Own >> >>"})
+    assert list(_rows(data, "fonts", b"", None, "compat")) == [(1, "F1", "Font", "Type1", "Own", "N", "WinAnsiEncoding", "Own", [500.0, 600.5])]
+    assert next(_rows(data.replace(b"/Type /Page /", b"/Type /Page /ArtBox [1 2 3 4] /"), "pages", b"", None, "compat"))[5:] == (1.0, 2.0, 3.0, 4.0)
