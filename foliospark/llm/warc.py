@@ -1,13 +1,17 @@
 """WARC archives of pages, and a two-level index of their captures.
 
 Archives are plain WARC 1.1 of ARCHIVE_BYTES or one larger record. The index sorts captures by URL key, host reversed,
-and packs BLOCK of them in a compressed block; a directory holds each block's first and last key. A look-up searches
-the directory, then the block, then reads the record's range of its archive. Everything is written and read by Spark
-or Hadoop file systems, so archives can lie wherever Spark reads.
+and packs BLOCK of them in a compressed block; blocks are numbered in the order of their keys within a shard, and a
+sparse directory holds each block's address (shard and number) with its first and last key. A look-up searches the
+directory, then the block that it names, both by halving, then reads the record's range of its archive: lookup() for
+one URL, lookup_all() for a table of them. Everything is written and read by Spark or Hadoop file systems, so archives
+can lie wherever Spark reads.
 
 Of records with equal payloads of at least REVISIT bytes, those of the smallest page id are responses and the others
 revisits of it; a null id is never the smallest. Null and empty pages have empty payloads. Repeated rows are captures
-of their own. A null URL has an empty key; one that can't be parsed is its own key. Empty tables make an empty store.
+of their own. A null URL has an empty key; one that can't be parsed is its own key. A very long page is one record, held
+by one task at a time. Captures of one key that tie stand by page id, file and offset. Columns other than the three
+named are not read. Empty tables make an empty store.
 """
 
 from __future__ import annotations
@@ -26,12 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.lines import _join
-from foliospark.sources.runtime import scratch_path, ship, table
+from foliospark.sources.runtime import plan_bytes, scratch_path, ship, table
 
 ARCHIVE_BYTES, BLOCK, REVISIT = 16 << 20, 256, 100
+#: Bytes of a directory's files up to which it is sent to all tasks; look-ups in larger ones join keys instead.
+DIRECTORY_BYTES = 32 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "key string, page_id long, file string, offset long, length long"
+DIRECTORY = "shard int, number int, first_key string, last_key string, n int"
+BLOCKS = "shard int, number int, first_key string, last_key string, n int, block binary"
 
 
 @dataclass
@@ -119,10 +127,13 @@ def write(pages: DataFrame, root: str) -> Store:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        shard, number = TaskContext.get().partitionId(), 0
 
         def block(part: list[tuple]) -> pa.RecordBatch:
+            nonlocal number
             text = "\n".join(json.dumps(x) for x in part).encode()
-            return pa.RecordBatch.from_arrays([pa.array([part[0][0]]), pa.array([part[-1][0]]), pa.array([len(part)], pa.int32()), pa.array([zlib.compress(text)], pa.binary())], names=["first_key", "last_key", "n", "block"])
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number - 1], pa.int32()), pa.array([part[0][0]]), pa.array([part[-1][0]]), pa.array([len(part)], pa.int32()), pa.array([zlib.compress(text)], pa.binary())], names=["shard", "number", "first_key", "last_key", "n", "block"])
 
         for b in batches:
             held += zip(*(c.to_pylist() for c in b.columns), strict=True)
@@ -132,8 +143,9 @@ def write(pages: DataFrame, root: str) -> Store:
         if held:
             yield block(held)
 
-    captures.mapInArrow(pack, "first_key string, last_key string, n int, block binary").write.parquet(store.blocks)
-    spark.read.parquet(store.blocks).select("first_key", "last_key", "n").write.parquet(store.directory)
+    captures.mapInArrow(pack, BLOCKS).write.partitionBy("shard").parquet(store.blocks)
+    blocks = spark.read.schema(BLOCKS).parquet(store.blocks)
+    blocks.select("shard", "number", "first_key", "last_key", "n").repartitionByRange("first_key", "last_key", "shard", "number").sortWithinPartitions("first_key", "last_key", "shard", "number").write.parquet(store.directory)
     return store
 
 
@@ -166,23 +178,76 @@ def entries(spark: SparkSession, store: Store) -> DataFrame:
                 rows = [json.loads(x) for x in zlib.decompress(block).split(b"\n")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "file", "offset", "length"])
 
-    return spark.read.schema("first_key string, last_key string, n int, block binary").parquet(store.blocks).select("block").mapInArrow(unpack, ENTRY)
+    return spark.read.schema(BLOCKS).parquet(store.blocks).select("block").mapInArrow(unpack, ENTRY)
 
 
 def read(spark: SparkSession, store: Store) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload (null for revisits) of all
     captures, by their ranges. A response's bytes and digest come from its payload."""
     ship(spark)
-    ranges = table(entries(spark, store).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("ranges")), "warc-ranges")
+    return _ranges(spark, store, entries(spark, store).select("file", "offset", "length"))
+
+
+def lookup_all(spark: SparkSession, store: Store, urls: DataFrame) -> DataFrame:
+    """What read() gives, of the captures of a table's URLs (url), each once, however often a URL stands there."""
+    ship(spark)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(url_key, b.column(0).to_pylist()), pa.string())], names=["key"])
+
+    keys = urls.select(F.col("url").cast("string").alias("url")).mapInArrow(keyed, "key string").distinct()
+    directory = spark.read.schema(DIRECTORY).parquet(store.directory)
+    if plan_bytes(directory) > DIRECTORY_BYTES:
+        return _ranges(spark, store, entries(spark, store).join(keys, "key", "left_semi").select("file", "offset", "length"))
+    rows = sorted(tuple(r) for r in directory.select("first_key", "last_key", "shard", "number").collect())
+    firsts, lasts = [r[0] for r in rows], [r[1] for r in rows]
+    sent = spark.sparkContext.broadcast((firsts, lasts, [r[2:] for r in rows]))
+
+    def address(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts, places = sent.value
+        for b in batches:
+            out = []
+            for k in b.column(0).to_pylist():
+                # blocks follow each other, so those that can hold a key are neighbours
+                at = bisect_left(lasts, k)
+                while at < len(firsts) and firsts[at] <= k:
+                    out.append((*places[at], k))
+                    at += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.string()), strict=True)], names=["shard", "number", "key"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for wanted, data in zip(b.column(0), b.column(1), strict=True):
+                rows = [json.loads(x) for x in zlib.decompress(data.as_py()).split(b"\n")]
+                found = []
+                for k in wanted.as_py():
+                    at = bisect_left(rows, k, key=lambda x: x[0])
+                    while at < len(rows) and rows[at][0] == k:
+                        found.append(rows[at][2:])
+                        at += 1
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "offset", "length"])
+
+    # a block's keys are BLOCK at most
+    asked = keys.mapInArrow(address, "shard int, number int, key string").groupBy("shard", "number").agg(F.collect_list("key").alias("keys"))
+    blocks = spark.read.schema(BLOCKS).parquet(store.blocks).select("shard", "number", "block")
+    found = blocks.join(asked, ["shard", "number"]).select("keys", "block").mapInArrow(search, "file string, offset long, length long")
+    return _ranges(spark, store, found)
+
+
+def _ranges(spark: SparkSession, store: Store, ranges: DataFrame) -> DataFrame:
+    """Captures at ranges (file, offset, length) of the archives; a file's are as many as its ARCHIVE_BYTES hold."""
+    ranges = table(ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("ranges")), "warc-ranges")
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content, spans in zip(b.column(0), b.column(1), strict=True):
-                data, rows, size = content.as_py(), [], 0
+                data, rows, size = content.as_buffer(), [], 0
                 for s in spans.as_py():
-                    rows.append(capture(data[s["offset"] : s["offset"] + s["length"]]))
+                    rows.append(capture(data.slice(s["offset"], s["length"]).to_pybytes()))
                     size += s["length"]
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
@@ -204,14 +269,14 @@ def capture(data: bytes) -> tuple:
 
 
 def lookup(spark: SparkSession, store: Store, url: str) -> list[dict]:
-    """Captures of a URL: the directory's blocks that can hold its key, a binary search in each, a range read each."""
+    """Captures of a URL: the addresses of the blocks that can hold its key, a search by halving in each, a range read
+    each. The directory is sorted, so Parquet's own statistics leave out what can't hold the key."""
     key = url_key(url)
-    span = (F.col("first_key") <= key) & (F.col("last_key") >= key)
+    directory = spark.read.schema(DIRECTORY).parquet(store.directory)
     out = []
-    if not spark.read.parquet(store.directory).where(span).take(1):
-        return out
-    for r in spark.read.parquet(store.blocks).where(span).select("block").toLocalIterator():
-        rows = [json.loads(x) for x in zlib.decompress(r["block"]).split(b"\n")]
+    for place in directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("shard", "number").collect():
+        block = spark.read.schema(BLOCKS).parquet(store.blocks).where((F.col("shard") == place["shard"]) & (F.col("number") == place["number"])).select("block")
+        rows = [json.loads(x) for x in zlib.decompress(block.first()["block"]).split(b"\n")]
         at = bisect_left(rows, key, key=lambda x: x[0])
         while at < len(rows) and rows[at][0] == key:
             _, _, file, offset, length = rows[at]
@@ -234,7 +299,8 @@ def _range(spark: SparkSession, path: str, offset: int, length: int) -> bytes:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     store = write(pages, scratch_path(spark, "warc"))
-    return read(spark, store).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # every page is asked for by its URL
+    return lookup_all(spark, store, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
