@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least LEAST characters take part, without ASCII white space at their ends. Of equal lines the first stays, by
-(doc_id, line number); of two lines within EDITS edits, the later goes, wherever it stands. A line of n characters is
+Lines take part that are not blank, without ASCII white space at their ends. Of equal lines the first stays, by
+(doc_id, line number), of lines of at least `floor` characters (1 if not stated); of two lines of LEAST characters and
+more within EDITS edits, the later goes, wherever it stands. Shorter lines are near each other by chance. A line of n characters is
 cut into EDITS + 1 segments; a line within EDITS edits of it holds one of them unchanged, at a place that the lengths
 narrow down. So lines meet by (length, segment number, substring), and a banded bit-parallel edit distance verifies
 those that meet.
@@ -11,7 +12,7 @@ What is joined to all lines or documents is broadcast if the written table's fil
 tables are shuffled.
 
 Null texts stay null and empty ones empty. Rows with one id and text are treated alike; a null id comes after all
-others. Empty tables give empty results. Other columns stay, whatever their names; a column of a result's name is
+others. Very long lines and texts are treated as others are, by one task at a time. Empty tables give empty results. Other columns stay, whatever their names; a column of a result's name is
 replaced.
 """
 
@@ -32,14 +33,14 @@ LETTERS = "enisratdhulcgmob"
 CROWD = 4
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that take part, with their place in the order of lines and two hashes."""
+def _lines(docs: DataFrame, floor: int) -> DataFrame:
+    """Lines of so many characters, with their place in the order of lines and two hashes."""
     line = F.btrim(F.col("raw"), F.lit(SPACE))
     return (
         docs.select(F.col("__id"), F.xxhash64("__text").alias("__th"), F.posexplode(F.split("__text", "\n", -1)).alias("no", "raw"))
-        .where(F.length("raw") >= LEAST)
+        .where(F.length("raw") >= floor)
         .withColumn("line", line)
-        .where(F.length("line") >= LEAST)
+        .where(F.length("line") >= floor)
         .select(F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("no"), F.col("__th").alias("th")).alias("at"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), "line")
     )
 
@@ -148,15 +149,15 @@ def _middles(pairs: DataFrame) -> DataFrame:
     return cut.withColumn("x", chars("a_mid")).withColumn("y", chars("b_mid"))
 
 
-def mark(docs: DataFrame, *, edits: int = EDITS, tag: str = "lines") -> DataFrame:
+def mark(docs: DataFrame, *, edits: int = EDITS, floor: int = 1, tag: str = "lines") -> DataFrame:
     """docs with a column removed_lines: the numbers, from 0, of lines that go. docs: doc_id, text and others."""
     base = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.col("text").cast("string"))
     slim = base.select("__id", "__text")
-    occurrences = table(_lines(slim).drop("line"), "lines", tag)
+    occurrences = table(_lines(slim, max(1, floor)).drop("line"), "lines", tag)
     repeated = table(occurrences.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "lines-repeated", tag)
     again = _join(occurrences, repeated, ["h", "g"], "inner").where("at != first").select("at")
 
-    once = table(_join(_lines(slim), repeated, ["h", "g"], "left").where("first is null or at = first").drop("first").withColumn("keys", index_keys(F.col("line"), edits)), "lines-once", tag)
+    once = table(_join(_lines(slim, LEAST), repeated, ["h", "g"], "left").where("first is null or at = first").drop("first").withColumn("keys", index_keys(F.col("line"), edits)), "lines-once", tag)
     # lines of crowded segments get counts, so that of near copies only those that can be near are listed as pairs
     index = once.select("h", F.explode("keys").alias("key"))
     crowds = table(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "lines-crowds", tag)
@@ -184,10 +185,10 @@ def mark(docs: DataFrame, *, edits: int = EDITS, tag: str = "lines") -> DataFram
     return joined.withColumn("removed_lines", F.coalesce("removed_lines", F.expr("cast(array() as array<int>)"))).drop("__id", "__text", "__th", "__last", "__rid", "__rth")
 
 
-def dedup(docs: DataFrame, *, edits: int = EDITS, tag: str = "lines") -> DataFrame:
+def dedup(docs: DataFrame, *, edits: int = EDITS, floor: int = 1, tag: str = "lines") -> DataFrame:
     """docs whose texts have lost the lines that mark() names; texts without such lines stay as they are."""
     kept = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda _, i: ~F.array_contains(F.col("removed_lines"), i)), "\n")
-    return mark(docs, edits=edits, tag=tag).withColumn("text", F.when(F.size("removed_lines") > 0, kept).otherwise(F.col("text")))
+    return mark(docs, edits=edits, floor=floor, tag=tag).withColumn("text", F.when(F.size("removed_lines") > 0, kept).otherwise(F.col("text")))
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +205,8 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 occ AS (SELECT doc_id, i - 1 AS no, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
-lines AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS k FROM occ WHERE length(line) >= 20),
-once AS MATERIALIZED (SELECT line, length(line) AS n, doc_id, no, line[:n // 3] AS s1, line[n // 3 + 1:n // 3 + (n + 1) // 3] AS s2, line[n // 3 + (n + 1) // 3 + 1:] AS s3 FROM lines WHERE k = 1),
+lines AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS k FROM occ WHERE line <> ''),
+once AS MATERIALIZED (SELECT line, length(line) AS n, doc_id, no, line[:n // 3] AS s1, line[n // 3 + 1:n // 3 + (n + 1) // 3] AS s2, line[n // 3 + (n + 1) // 3 + 1:] AS s3 FROM lines WHERE k = 1 AND length(line) >= 20),
 met AS MATERIALIZED (SELECT a.line AS a, b.line AS b, (a.doc_id, a.no) > (b.doc_id, b.no) AS a_later FROM once a JOIN (SELECT *, n - unnest([0, 1, 2]) AS m FROM once) b ON a.n = b.m AND (a.n < b.n OR a.line < b.line)
   AND (contains(b.line, a.s1) OR contains(b.line, a.s2) OR contains(b.line, a.s3))),
 near AS (SELECT DISTINCT CASE WHEN a_later THEN a ELSE b END AS line FROM met WHERE levenshtein(a, b) <= 2),

@@ -28,14 +28,14 @@ def edited(rng, s, n):
     return "".join(s)
 
 
-def brute(docs):
-    occ = [((d is None, d or 0, n), i, n, x) for i, (d, t) in enumerate(docs) if t is not None for n, raw in enumerate(t.split("\n")) if len(x := raw.strip(L.SPACE)) >= L.LEAST]
+def brute(docs, floor=1):
+    occ = [((d is None, d or 0, n), i, n, x) for i, (d, t) in enumerate(docs) if t is not None for n, raw in enumerate(t.split("\n")) if len(x := raw.strip(L.SPACE)) >= floor]
     first = {}
     for at, _, _, x in occ:
         first[x] = min(first.get(x, at), at)
     gone = [[] for _ in docs]
     for at, i, n, x in occ:
-        if at != first[x] or any(at2 < first[x] and abs(len(y) - len(x)) <= 2 and distance(x, y) <= 2 for y, at2 in first.items()):
+        if at != first[x] or len(x) >= L.LEAST and any(len(y) >= L.LEAST and at2 < first[x] and abs(len(y) - len(x)) <= 2 and distance(x, y) <= 2 for y, at2 in first.items()):
             gone[i].append(n)
     return gone
 
@@ -56,6 +56,9 @@ def test_against_brute_force(spark):
     got = {(r["doc_id"], r["text"]): list(r["removed_lines"]) for r in L.mark(frame).collect()}
     for (d, t), want in zip(docs, brute(docs), strict=True):
         assert got[d, t] == want, (d, t)
+    got = {(r["doc_id"], r["text"]): list(r["removed_lines"]) for r in L.mark(frame, floor=L.LEAST).collect()}
+    for (d, t), want in zip(docs, brute(docs, L.LEAST), strict=True):
+        assert got[d, t] == want, (d, t)
     assert L.mark(frame).columns == ["doc_id", "text", "th", "no", "removed_lines"]
 
 
