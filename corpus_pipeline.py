@@ -18,23 +18,35 @@ TOXIC = 0.5
 TAGS = ("pipe-lines", "pipe-neardup")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs don't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def _clear(spark: SparkSession) -> None:
     for tag in TAGS:
         drop_scratch(spark, tag)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of score TOXIC and more go. The model learns from the labels that op7 learns from."""
+    """Documents of score TOXIC and more, a tie at it too, go. The model learns from the labels that op7 learns from.
+    Null and empty texts have the score of the model's bias; rows are scored one by one, however long; an empty table stays
+    empty; other columns are let be."""
     _clear(spark)
     model = toxicity.fit_tables(spark, docs.select("doc_id", "text"), sf_dir)
-    return toxicity.score(docs, model, into="__toxic").where(F.col("__toxic") < TOXIC).select(docs.columns)
+    into = free_name(docs, "toxic")
+    return toxicity.score(docs, model, into=into).where(F.col(into) < TOXIC).drop(into)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go from texts; documents go of which that leaves only white space, as they
-    were nothing but repeats."""
+    """Repeated and nearly repeated lines of lines.LEAST characters and more go from texts: shorter ones recur by chance in
+    texts that copy nothing. Documents go of which that leaves only white space, as they were nothing but repeats.
+    Of equal lines the first stays, by doc_id and place; null texts stay, null ids come last; repeated rows lose the
+    same lines; an empty table stays empty; other columns are let be."""
     _clear(spark)
-    out = lines.dedup(docs, tag="pipe-lines")
+    out = lines.dedup(docs, floor=lines.LEAST, tag="pipe-lines")
     if "n_chars" in docs.columns:
         kept = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.size("removed_lines") > 0, kept).otherwise(F.col("n_chars")))
@@ -42,19 +54,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are alike at 0.8 or more, directly or by others, the smallest id stays."""
+    """Of documents whose five-word shingles are alike at 0.8 or more, directly or by others, the smallest id stays.
+    Documents without words and rows without an id stay; rows of one id stay or go together; an empty table stays empty;
+    other columns are let be."""
     _clear(spark)
     return neardup.dedup(docs, tag="pipe-neardup").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one word in twenty or more stands in benchmark passages go."""
+    """Documents of which one word in twenty or more, a tie at it too, stands in benchmark passages go. Documents without
+    words stay; rows are judged one by one, however long; an empty table, of documents or of items, leaves all as is."""
     _clear(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token ids and their digests."""
+    """Token ids' and decoded texts' digests by doc_id, a row each; a null text counts as an empty one."""
     _clear(spark)
     return bpe.digests(bpe.encode(docs.select("doc_id", "text"), bpe.default_tokenizer()))
 
