@@ -3,7 +3,8 @@
 Texts are split into words in Spark; each distinct word reaches the tokenizer once, by bucket of its hash; its ids
 return to the places where the word stands. Decoding joins ids to the vocabulary's pieces.
 
-Null texts count as empty. A repeated row is encoded again, on its own. Columns other than the two named are not read.
+Null texts count as empty. A repeated row is encoded again, on its own; a null id stays null. A very long text is a block
+of its own. Nothing ties. Columns other than the two named are not read.
 An empty table gives an empty result. A special token's string in a text becomes its id, as the tokenizers library
 does it.
 """
@@ -125,10 +126,12 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         pieces = _pieces(tokenizer)[0]
         return doc_id, ids[at], b"".join(map(pieces.__getitem__, ids[at].tolist())).decode("utf-8", "replace")
 
+    docs = W.dealt(docs.select("doc_id", "text"))
+    tasks = W.tasks_for(docs)
     parts = table(W.split_blocks(docs, split, lambda _: 0, W.buckets_for(docs)), "bpe-words", "bpe")
-    ids = W.by_bucket(parts.where("kind = 0"), answer)
+    ids = W.by_bucket(parts.where("kind = 0"), answer, tasks)
     fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
-    return W.by_block(ids.unionByName(parts.where("kind = 1")), list, add, finish, fields, "doc_id long, ids array<int>, decoded string")
+    return W.by_block(ids.unionByName(parts.where("kind = 1")), list, add, finish, fields, "doc_id long, ids array<int>, decoded string", tasks)
 
 
 def default_tokenizer() -> str:
