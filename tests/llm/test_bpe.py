@@ -27,7 +27,8 @@ def test_empty_table(spark):
 def test_packed_documents_round_trip():
     import numpy as np
 
-    docs = [(1, 0, np.array([0, 3, 300, 70000, 0])), (None, 1, np.array([], int)), (-5, 1, np.array([0, 0, 1]))]
+    docs = [(1, 0, np.array([0, 3, 300, 70000, 0]), np.array([0.5, 7])), (None, 1, np.array([], int), np.array([-1.5, 8])), (-5, 1, np.array([0, 0, 1]), np.array([0, 9.0]))]
     out = list(W.unpack_docs(W.pack_docs(docs), 900, 2))
-    assert [(i, f) for i, f, _ in out] == [(1, 0), (None, 1), (-5, 1)]
-    assert [x.tolist() for _, _, x in out] == [[902, 2, 299, 69999, 903], [], [904, 905, 0]]
+    assert [(i, f) for i, f, _, _ in out] == [(1, 0), (None, 1), (-5, 1)]
+    assert [e.tolist() for *_, e in out] == [[0.5, 7], [-1.5, 8], [0, 9]]
+    assert [x.tolist() for _, _, x, _ in out] == [[902, 2, 299, 69999, 903], [], [904, 905, 0]]
