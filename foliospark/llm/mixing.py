@@ -45,8 +45,11 @@ ORDERS = len(CONTEXTS)
 #: of text and at most, see slot_bits(): at most, a learning task's tables take 400 MB.
 FEW_BITS, LEAST_BITS, MANY_BITS, MOST_BITS, PLENTY = (20,), 16, 22, 24, 1 << 26
 #: Slots of a packed part; text that a learning task counts before it predicts on; bits of a step of learning; text
-#: that is scored side by side; input of a learning task, in bytes of files.
-PART, LEARN_BYTES, BATCH, SCORE_BYTES, TASK_BYTES = 1 << 16, 1 << 15, 1 << 12, 1 << 17, 20 << 20
+#: whose bits are held at once; input of a learning task, in bytes of files.
+PART, LEARN_BYTES, BATCH, SCORE_BYTES, TASK_BYTES = 1 << 16, 1 << 15, 1 << 12, 1 << 16, 20 << 20
+#: Texts that are scored side by side, and their bytes; a step of few texts costs as much as one of many. Text whose
+#: contexts are hashed at once.
+GROUP, GROUP_BYTES, HASH_BYTES = 256, 2 << 20, 1 << 16
 PIECE, BEHIND, CHUNK = 1 << 18, 256, 32
 PRIOR, CLIP, BINS = 0.05, 12.0, 33
 #: How well the word so far is known, its sequence too; depths in the code.
@@ -145,9 +148,20 @@ def _huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
     return [p[::-1] for p in paths]
 
 
+@dataclass
+class Bytes:
+    """Bytes of texts in the order in which they are worked off: step by step, in each step text by text."""
+
+    text: np.ndarray
+    pair: np.ndarray
+    hashes: list[np.ndarray]
+    steps: np.ndarray  # where each step's bytes end
+    texts: int
+
+
 @dataclass
 class Bits:
-    """Bits of texts in the order in which they are worked off: step by step, in each step text by text."""
+    """Bits of some of these bytes."""
 
     text: np.ndarray
     bit: np.ndarray
@@ -196,32 +210,44 @@ def pairs_of(b: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out | b
 
 
-def bits_of(pieces: list[bytes], skipped: list[int], code: Code, powers: list[int]) -> Bits:
-    """The bits of pieces but for the bytes skipped at their starts, which are contexts only."""
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    b = np.frombuffer(b"".join(pieces), np.uint8)
-    text = np.repeat(np.arange(len(pieces)), sizes)
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    hashes = contexts(b, first)
-    pair = pairs_of(b, first)
-    step = (np.arange(len(b)) - first - np.repeat(np.array(skipped, np.int64), sizes)) // CHUNK
-    order = np.argsort(step.astype(np.int16), kind="stable")
-    order = order[int((step < 0).sum()) :]
-    pair, step = pair[order], step[order]
-    lengths = code.length[pair]
+def bytes_of(pieces: list[bytes], skipped: list[int]) -> Bytes:
+    """The bytes of pieces but for those skipped at their starts, which are contexts only."""
+    found = []
+    start = size = 0
+    for i, piece in enumerate(pieces):
+        size += len(piece)
+        if size >= HASH_BYTES or i + 1 == len(pieces):
+            # contexts end at the piece, so that few at a time do
+            now = pieces[start : i + 1]
+            sizes = np.fromiter(map(len, now), np.int64, len(now))
+            b = np.frombuffer(b"".join(now), np.uint8)
+            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            step = (np.arange(len(b)) - first - np.repeat(np.array(skipped[start : i + 1], np.int64), sizes)) // CHUNK
+            keep = slice(None) if not any(skipped[start : i + 1]) else step >= 0
+            text = np.repeat(np.arange(start, i + 1, dtype=np.int32), sizes)
+            found.append([x[keep] for x in (step.astype(np.int16), text, pairs_of(b, first).astype(np.uint16), *contexts(b, first))])
+            start, size = i + 1, 0
+    step, text, pair, *hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(step, kind="stable")
+    return Bytes(text[order], pair[order], [h[order] * _STEP for h in hashes], np.flatnonzero(np.diff(step[order], append=-1)) + 1, len(pieces))
+
+
+def bits_of(m: Bytes, code: Code, powers: list[int], start: int, steps: np.ndarray) -> Bits:
+    """The bits of the steps whose bytes end at `steps`, from the byte at start on."""
+    e = slice(start, int(steps[-1]) if len(steps) else start)
+    pair = m.pair[e]
+    lengths = np.take(code.length, pair)
     ends = np.cumsum(lengths)
     byte = np.repeat(np.arange(len(pair)), lengths)
-    place = np.arange(len(byte)) + np.take(code.start[pair] - ends + lengths, byte)
-    nodes = np.take(code.nodes, place)
+    place = np.arange(len(byte)) + np.take(np.take(code.start, pair) - ends + lengths, byte)
+    nodes = np.take(code.nodes, place) * _STEP
     slots = []
-    for h, t in zip(hashes, powers, strict=True):
-        s = np.take(h[order], byte)
+    for h, t in zip(m.hashes, powers, strict=True):
+        s = np.take(h[e], byte)
         s += nodes
-        s *= _STEP
         s >>= np.uint32(32 - t)
         slots.append(s.astype(np.int64))
-    steps = ends[np.flatnonzero(np.diff(step, append=-1))] if len(step) else np.zeros(0, np.int64)
-    return Bits(np.take(text[order], byte), np.take(code.bits, place), np.take(code.depth, place), slots, steps)
+    return Bits(np.take(m.text[e].astype(np.int64), byte), np.take(code.bits, place), np.take(code.depth, place), slots, ends[steps - start - 1])
 
 
 def bins(z: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -251,7 +277,8 @@ class Learner:
         self.seen = np.zeros((2, LEVELS * BINS))
 
     def learn(self, pieces: list[bytes], skipped: list[int]) -> int:
-        m = bits_of(pieces, skipped, self.code, self.powers)
+        own = bytes_of(pieces, skipped)
+        m = bits_of(own, self.code, self.powers, 0, own.steps)
         x = np.empty((ORDERS, len(m.bit)), np.float32)
         level = np.zeros(len(m.bit), np.int64)
         for k in range(ORDERS):
@@ -272,8 +299,9 @@ class Learner:
             self.moved += slope**2
             self.weights += (RATE * slope / np.sqrt(self.moved)).astype(np.float32)
             self.seen += np.bincount(spot * 2 + m.bit[e], minlength=2 * LEVELS * BINS).reshape(-1, 2).T
+        one = np.left_shift(np.uint64(1), m.bit.astype(np.uint64) << np.uint64(5))
         for k in range(ORDERS):
-            np.add.at(self.counts[k].view(np.uint32), m.slots[k] * 2 + m.bit, np.uint32(1))
+            np.add.at(self.counts[k], m.slots[k], one)
         return len(m.bit)
 
 
@@ -301,8 +329,14 @@ class Model:
             for n in range(max(map(len, parts))):
                 # texts of several pieces are alone in their group
                 now = [p[n] for p in parts]
-                m = bits_of([p for p, _ in now], [s for _, s in now], self.code, self.powers)
-                out[group] += self._run(m, tables, *state)
+                m = bytes_of([p for p, _ in now], [s for _, s in now])
+                start = at = 0
+                while at < len(m.steps):
+                    # as many steps at once as make SCORE_BYTES, one at least
+                    to = max(at + 1, int(np.searchsorted(m.steps, start + SCORE_BYTES, side="right")))
+                    steps = m.steps[at:to]
+                    out[group] += self._run(bits_of(m, self.code, self.powers, start, steps), tables, *state)
+                    start, at = int(steps[-1]), to
         return out
 
     @property
@@ -338,11 +372,11 @@ class Model:
             err, g = np.take(err, much).astype(np.float64) * OWN_RATE, np.take(g, much)
             for k in range(ORDERS):
                 weights[k, : texts * GATES] += np.bincount(g, err * np.take(xe[k], much), texts * GATES)
-            n = texts * LEVELS * BINS
-            refined[:n] += np.bincount(spot, (bit - old).astype(np.float64), n) / (np.bincount(spot, minlength=n) + INERTIA)
+            # only bins that were met move, by the sum of their errors over their number
+            np.add.at(refined, spot, (bit - old) / (np.take(np.bincount(spot), spot).astype(np.float32) + np.float32(INERTIA)))
             start = end
         p = np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
-        return np.bincount(m.text, np.log10(np.where(m.bit > 0, p, 1 - p).astype(np.float64)), len(refined) // (LEVELS * BINS))
+        return np.bincount(m.text, np.log(np.where(m.bit > 0, p, 1 - p)), len(refined) // (LEVELS * BINS)) / np.log(10.0)
 
 
 def _grouped(streams: list[bytes]) -> Iterator[np.ndarray]:
@@ -350,7 +384,7 @@ def _grouped(streams: list[bytes]) -> Iterator[np.ndarray]:
     sizes = np.fromiter(map(len, streams), np.int64, len(streams))
     group, size = [], 0
     for i in np.argsort(-sizes, kind="stable").tolist():
-        if group and (sizes[group[0]] > PIECE or size + sizes[i] > SCORE_BYTES):
+        if group and (sizes[group[0]] > PIECE or size + sizes[i] > GROUP_BYTES or len(group) == GROUP):
             yield np.array(group)
             group, size = [], 0
         group.append(i)
