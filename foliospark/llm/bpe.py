@@ -51,6 +51,16 @@ def _pieces(path: str) -> tuple[list[bytes], list[str]]:
     return pieces, [a["content"] for a in spec["added_tokens"]]
 
 
+def _pre_tokenizer(path: str):
+    """The tokenizer's own split, without its vocabulary: tasks that split hold none."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"] |= {"vocab": {}, "merges": []}
+    return Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "decoder": None})).pre_tokenizer
+
+
 @lru_cache(maxsize=2)
 def _splitter(path: str):
     import regex
@@ -62,7 +72,7 @@ def _splitter(path: str):
 
     # up to here the categories of this module and of the tokenizer's are the same; later ones differ by Unicode version
     late = regex.compile("[^\\x00-\u0557]")
-    own = _model(path).pre_tokenizer
+    own = _pre_tokenizer(path)
 
     def plain(text: str) -> list[bytes]:
         if late.search(text):
@@ -80,10 +90,10 @@ def _splitter(path: str):
     return split
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, *, block_bytes: int = W.BLOCK_BYTES) -> DataFrame:
     """doc_id, ids (array of int) and decoded (string, from the ids alone) of docs (doc_id, text).
 
-    tokenizer: path of a byte-level tokenizer file, at the same place on every executor.
+    tokenizer: path of a byte-level tokenizer file, at the same place on every executor. block_bytes: text of a block.
     """
     ship(docs.sparkSession)
 
@@ -128,7 +138,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     docs = W.dealt(docs.select("doc_id", "text"))
     tasks = W.tasks_for(docs)
-    parts = table(W.split_blocks(docs, split, lambda _: 0, W.buckets_for(docs)), "bpe-words", "bpe")
+    parts = table(W.split_blocks(docs, split, lambda _: 0, W.buckets_for(docs), block_bytes=block_bytes), "bpe-words", "bpe")
     ids = W.by_bucket(parts.where("kind = 0"), answer, tasks)
     fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
     return W.by_block(ids.unionByName(parts.where("kind = 1")), list, add, finish, fields, "doc_id long, ids array<int>, decoded string", tasks)

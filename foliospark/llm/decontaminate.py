@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from foliospark.llm import words as W
 from foliospark.sources.runtime import ship, table
 
 #: Item words of an automaton: about 100 MB in a Python worker.
@@ -160,6 +161,8 @@ def _scanner(sent: Broadcast, window: int):
                 spans, found = automaton.scan(words)
                 rows.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "item_ids": sorted(x for x in found if x is not None)})
             yield pa.array(rows, kind)
+        del automaton
+        W.relax()
 
     return scan
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from foliospark.llm import words as W
 from foliospark.llm.lines import _join
 from foliospark.sources.runtime import ship, table
 
@@ -135,6 +136,7 @@ def _signer(size: int):
                 else:
                     rows.append({"n": 0, "set_a": 0, "set_b": 0, "bands": [], "sketch": b""})
             yield pa.array(rows, kind)
+        W.relax()
 
     return sign
 
@@ -144,6 +146,7 @@ def _sets(size: int):
     def sets(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:
             yield pa.array([shingles(t, size).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        W.relax()
 
     return sets
 

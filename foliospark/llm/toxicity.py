@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from foliospark.llm import words as W
 from foliospark.llm.decontaminate import words_of
 from foliospark.sources.runtime import ship
 
@@ -70,6 +71,7 @@ def _features(known: Broadcast | None):
                 terms = {t for w in set(words_of(text)) for t in terms_of(w)}
                 rows.append(sorted(terms if number is None else (number[t] for t in terms if t in number)))
             yield pa.array(rows, pa.list_(pa.int64()))
+        W.relax()
 
     return features
 
@@ -148,6 +150,8 @@ def _scorer(sent: Broadcast):
                         x.update(known)
                 rows.append(np.array(sorted(x), np.int64))
             yield pa.array(model.score(rows), pa.float64())
+        held.clear()
+        W.relax()
 
     return score
 

@@ -29,6 +29,9 @@ BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 8 << 20, 4096
 #: Input of a task that works on packed rows, in bytes of files; text of documents that extras are worked out for at once.
 TASK_BYTES, EXTRA_BYTES, SHARE_BYTES = 24 << 20, 4 << 20, 1 << 20
 
+#: Text of documents whose words are split at once if no extras are worked out.
+SPLIT_BYTES = 1 << 18
+
 #: Sizes from here on stand for those that are not known.
 NO_ESTIMATE = 1 << 60
 
@@ -48,7 +51,8 @@ def keep_memory() -> None:
 
 
 def relax() -> None:
-    """Give memory back at a task's end: the worker goes on to other tasks."""
+    """Give memory back: at a task's end, as the worker goes on to other tasks or waits beside those that do, and before
+    a task that needs much."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
@@ -123,11 +127,12 @@ def unpack_docs(blob: bytes, once: int, seen: int) -> Iterator[tuple[int | None,
     return zip((None if n else i for i, n in zip(ids.tolist(), null.tolist(), strict=True)), flags.tolist(), parts, extras.reshape(len(ids), -1), strict=True)
 
 
-def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_of: Callable[[int | None], int], buckets: int, weigh: bool = False, extra: Callable[[list[list[bytes]]], np.ndarray] | None = None) -> DataFrame:
+def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_of: Callable[[int | None], int], buckets: int, weigh: bool = False, extra: Callable[[list[list[bytes]]], np.ndarray] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of SCHEMA from docs (doc_id long, text string; a null text has the words of an empty one).
 
     weigh: packed words carry how often each stands in the block's documents of flag 1, too. extra: numbers that travel
-    with each document, from the words of several, a row each.
+    with each document, from the words of several, a row each. block_bytes: text of a block; smaller ones take less
+    memory and move more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +141,7 @@ def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_o
         docs_of: list[tuple[int | None, int, np.ndarray, np.ndarray]] = []
         size = 0
         none = np.zeros(0)
+        relax()
         if extra:
             keep_memory()
 
@@ -180,14 +186,14 @@ def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_o
             for at in range(0, len(rows), 256):
                 yield batch_of(rows[at : at + 256])
 
-        for group in _groups(batches):
+        for group in _groups(batches, EXTRA_BYTES if extra else SPLIT_BYTES):
             words = [words_of(text) for _, text in group]
             extras = extra(words) if extra else [none] * len(group)
             for (doc_id, text), own, more in zip(group, words, extras, strict=True):
                 x = np.fromiter((ids.setdefault(w, len(ids)) for w in own), np.int32, len(own))
                 docs_of.append((doc_id, flag_of(doc_id), x, more))
                 size += len(text) + 64
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield from flush()
         if docs_of:
             yield from flush()
@@ -196,14 +202,14 @@ def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_o
     return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, SCHEMA)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str]]]:
-    """Documents, EXTRA_BYTES of text or one longer one at once."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int | None, str]]]:
+    """Documents, so many bytes of text or one longer one at once."""
     for batch in batches:
         group, size = [], 0
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             group.append((doc_id.as_py(), text.as_py() or ""))
             size += len(group[-1][1])
-            if size >= EXTRA_BYTES:
+            if size >= most:
                 yield group
                 group, size = [], 0
         if group:
