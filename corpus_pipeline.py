@@ -16,6 +16,8 @@ from foliospark.sources.runtime import drop_scratch, remove, scratch_path
 TOXIC = 0.5
 #: What the operators leave in the shared folder; a stage deletes that of the stages before it, whose output is written.
 TAGS = ("pipe-lines", "pipe-neardup")
+#: Text of the last stage's blocks: small ones, as the executors' heaps have grown in the stages before.
+BLOCK_BYTES = 8 << 20
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -71,7 +73,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids' and decoded texts' digests by doc_id, a row each; a null text counts as an empty one."""
     _clear(spark)
-    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), bpe.default_tokenizer()))
+    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), bpe.default_tokenizer(), block_bytes=BLOCK_BYTES))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
