@@ -1,6 +1,6 @@
 """PDF files as tables. A kernel over Arrow batches interprets pages; what is wrong with a file becomes a row of errors.
 
-`what` picks the columns: segments, glyphs, paths, pages, fonts, info, ops or fields. Files are (path, content) rows: of
+`what` picks the columns: segments, text, glyphs, paths, pages, fonts, info, ops or fields. Files are (path, content) rows: of
 spark.read.format("binaryFile"), of a stream of it, or of any frame with a binary column.
 """
 
@@ -24,6 +24,7 @@ FILES_A_BATCH = 16
 _COMMON = "doc_id string, status string, error_class string, error string"
 SCHEMAS = {
     "segments": f"{_COMMON}, page_num int, seg_no int, content string, font_name string, font_size double, transformed_font_size double, x double, y double, is_bold boolean, cutat string",
+    "text": f"{_COMMON}, page_num int, text string",
     "glyphs": f"{_COMMON}, page_num int, op_no int, glyph_no int, text string, w0 double, spacing double, size double, a double, b double, c double, d double, e double, f double, x double, y double, visible boolean",
     "paths": f"{_COMMON}, page_num int, op_no int, painted string, space string, tint array<double>, width double, a double, b double, c double, d double, e double, f double, ops array<struct<op:string;args:array<double>>>",
     "pages": f"{_COMMON}, page_num int, llx double, lly double, urx double, ury double, art_llx double, art_lly double, art_urx double, art_ury double",
@@ -100,7 +101,7 @@ def _views(data: bytes, whats: tuple[str, ...], password: bytes, wanted: tuple[i
         info = doc.get(doc.trailer.get("Info")) if "Info" in doc.trailer else None
         version = data[data.find(b"%PDF-") + 5 :][:3].decode("latin-1")
         yield "info", (version, [(k, _text(doc.get(v))) for k, v in (info or {}).items() if isinstance(doc.get(v), bytes)], len(pages))
-    drawn = set(whats) & {"segments", "ops", "paths", "glyphs"}
+    drawn = set(whats) & {"segments", "ops", "paths", "glyphs", "text"}
     if not drawn and not set(whats) & {"pages", "fonts"}:
         return
     fonts: dict = {}
@@ -121,10 +122,12 @@ def _views(data: bytes, whats: tuple[str, ...], password: bytes, wanted: tuple[i
             yield from (("fonts", (num, *r)) for r in _fonts(doc, resources))
         if not drawn:
             continue
-        Interpreter(doc, out, mode, bool(drawn & {"glyphs", "paths"}), fonts, names).run(doc.content(page), resources)
+        Interpreter(doc, out, mode, bool(drawn & {"glyphs", "paths"}), fonts, names, "text" in drawn).run(doc.content(page), resources)
         if "segments" in drawn:
             for n, s in enumerate(out.segments):
                 yield "segments", (num, n, *(s[k] for k in ("content", "font_name", "font_size", "transformed_font_size", "x", "y", "is_bold", "cutat")))
+        if "text" in drawn:
+            yield "text", (num, "".join(out.plain))
         if "ops" in drawn:
             yield from (("ops", (num, op, n)) for op, n in sorted(out.counts.items()) if op)
         if "paths" in drawn:
@@ -241,11 +244,9 @@ def chunks(files: DataFrame, **options) -> DataFrame:
 
 
 def extract_text(files: DataFrame, **options) -> DataFrame:
-    """doc_id, page_num, text: by the plain-text rules, over glyphs."""
-    g = good(parse(files, "glyphs", **options))
-    area: Column = (F.col("a") + F.col("c")) * (F.col("b") + F.col("d"))
-    size = F.when(area < 0, float("nan")).otherwise(F.abs("size") * F.sqrt(F.greatest(area, F.lit(0.0))))
-    return render.plain_text(g.withColumn("size", size))
+    """doc_id, page_num, text: by the plain-text rules, a row a page. They look at a string's first and last glyph only,
+    so the kernel applies them string by string; render.plain_text does so to frames of glyphs."""
+    return good(parse(files, "text", **options))
 
 
 def _bodies(rows: DataFrame, order: list[str]) -> DataFrame:
