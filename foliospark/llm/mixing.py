@@ -8,14 +8,14 @@ the word before. A context's hash and the place in the code pick a slot with cou
 zeros and ones. The contexts' log odds are mixed by weights that a gate picks (how well the word and its sequence are
 known, depth in the code), and a map from mixed to observed odds refines the outcome.
 
-Learning is online: a task reads its texts once, predicts each bit by what it has counted so far, moves the weights
-and the map, and counts the bits. Tables of the tasks are added, so they hold all learning documents; weights and maps
+Learning is online: a task reads its texts once, predicts each bit by what it has counted so far, counts the bits some
+at a time, and moves the weights and the map. Tables of the tasks are added, so they hold all learning documents; weights and maps
 are averaged, each by the bits it saw. Scoring is online too: counts stay, but each text has weights and a map of its
 own, which start as learnt and move after every CHUNK bytes of it. So a text's score depends on the model and the text
-alone. Texts are worked off side by side, step by step, in arrays; the bits of all of them are predicted one by one.
+alone. Mixer.java does both, a bit at a time, in Spark's own processes; Model.score scores texts at hand in arrays.
 
 What is gathered: the counts of all tokens, exact, and the slots, whose number grows with the learning documents (see
-slot_bits) up to what a Python worker can hold; beyond that, contexts share slots and blur, but all are counted.
+slot_bits) up to what an executor can hold; beyond that, contexts share slots and blur, but all are counted.
 
 Null and empty texts are an end alone. Very long texts are read in pieces of PIECE bytes; contexts of a piece reach
 BEHIND bytes back, the text's weights go on. A null id counts as an empty one in the split. Repeated rows are learnt
@@ -28,27 +28,31 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from py4j.java_gateway import JavaObject
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
 from foliospark.llm import words as W
-from foliospark.sources.runtime import ship, table
+from foliospark.sources.runtime import java_object, ship, table
 
 CONTEXTS = ("three bytes", "five bytes", "word after hint", "word after word")
 ORDERS = len(CONTEXTS)
 #: Slots of the first contexts, as powers of two, at most; of all contexts at least, with plenty
 #: of text and at most, see slot_bits(): at most, a learning task's tables take 400 MB.
 FEW_BITS, LEAST_BITS, MANY_BITS, MOST_BITS, PLENTY = (20,), 16, 22, 24, 1 << 26
-#: Slots of a packed part; text that a learning task counts before it predicts on; bits of a step of learning; text
+#: Slots of a packed part; text whose pieces a learning task works off side by side; bits by which weights move; text
 #: whose bits are held at once; input of a learning task, in bytes of files.
 PART, LEARN_BYTES, BATCH, SCORE_BYTES, TASK_BYTES = 1 << 16, 1 << 15, 1 << 12, 1 << 16, 20 << 20
-#: Texts that are scored side by side, and their bytes; a step of few texts costs as much as one of many. Text whose
-#: contexts are hashed at once.
+#: Slots that are sent at once.
+SENT = 1 << 21
+#: Texts that are scored side by side in arrays, and their bytes; a step of few texts costs as much as one of many. Text
+#: whose contexts are hashed at once.
 GROUP, GROUP_BYTES, HASH_BYTES = 256, 2 << 20, 1 << 16
 PIECE, BEHIND, CHUNK = 1 << 18, 256, 32
 PRIOR, CLIP, BINS = 0.05, 12.0, 33
@@ -265,46 +269,6 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-class Learner:
-    """Tables, weights and map that grow with what it reads."""
-
-    def __init__(self, code: Code, powers: list[int]):
-        self.code, self.powers = code, powers
-        # zeros and ones of a slot are halves of one number: both are looked up at once
-        self.counts = [np.zeros(1 << t, np.uint64) for t in powers]
-        self.weights = np.full((ORDERS, GATES), 0.3, np.float32)
-        self.moved = np.full((ORDERS, GATES), 1e-3)
-        self.seen = np.zeros((2, LEVELS * BINS))
-
-    def learn(self, pieces: list[bytes], skipped: list[int]) -> int:
-        own = bytes_of(pieces, skipped)
-        m = bits_of(own, self.code, self.powers, 0, own.steps)
-        x = np.empty((ORDERS, len(m.bit)), np.float32)
-        level = np.zeros(len(m.bit), np.int64)
-        for k in range(ORDERS):
-            c = np.take(self.counts[k], m.slots[k]).view(np.uint32).astype(np.float32)
-            if k in (WORD, NEXT):
-                level += np.take(WORD_LEVEL if k == WORD else NEXT_LEVEL, np.minimum(c[::2] + c[1::2], np.float32(63)).astype(np.int64))
-            c += np.float32(PRIOR)
-            np.log(c[1::2] / c[::2], out=x[k])
-        gate = level * DEPTHS + m.depth
-        for at in range(0, len(m.bit), BATCH):
-            e = slice(at, at + BATCH)
-            z = mixed(x[:, e], self.weights, gate[e])
-            err = m.bit[e] - sigmoid(z)
-            spot = bins(z, level[e])
-            much = np.flatnonzero(np.abs(err) > LITTLE)
-            err, g = np.take(err, much).astype(np.float64), np.take(gate[e], much)
-            slope = np.stack([np.bincount(g, err * np.take(x[k, e], much), GATES) for k in range(ORDERS)])
-            self.moved += slope**2
-            self.weights += (RATE * slope / np.sqrt(self.moved)).astype(np.float32)
-            self.seen += np.bincount(spot * 2 + m.bit[e], minlength=2 * LEVELS * BINS).reshape(-1, 2).T
-        one = np.left_shift(np.uint64(1), m.bit.astype(np.uint64) << np.uint64(5))
-        for k in range(ORDERS):
-            np.add.at(self.counts[k], m.slots[k], one)
-        return len(m.bit)
-
-
 def pieces_of(stream: bytes) -> Iterator[tuple[bytes, int]]:
     """Pieces of a text, each after some bytes of the piece before, and how many those are."""
     for at in range(0, len(stream), PIECE):
@@ -312,16 +276,29 @@ def pieces_of(stream: bytes) -> Iterator[tuple[bytes, int]]:
         yield stream[back : at + PIECE], at - back
 
 
+@dataclass
+class Tables:
+    """Slots of each context, as pairs of bytes."""
+
+    value: list[np.ndarray]
+
+
 @dataclass
 class Model:
     code: Code
     powers: list[int]
-    pairs: Broadcast
+    pairs: Tables
     weights: np.ndarray
     seen: np.ndarray
 
+    def scores(self, spark: SparkSession, text: Column) -> Column:
+        """log10 probabilities of a column of texts, and the bytes of their streams, as array<double>."""
+        tables = [t[at : at + SENT] for t in self.pairs.value for at in range(0, len(t), SENT)]
+        mixer = _mixer(spark, self.code, self.powers, self.weights, self.map, ODDS, WORD_LEVEL_OF.astype(np.uint8), NEXT_LEVEL_OF.astype(np.uint8), *tables)
+        return Column(mixer.scores(text.cast("string").cast("binary")._jc))
+
     def score(self, streams: list[bytes]) -> np.ndarray:
-        """log10 probabilities of texts."""
+        """log10 probabilities of streams at hand, in arrays."""
         out, tables = np.zeros(len(streams)), self.pairs.value
         for group in _grouped(streams):
             state = (np.tile(self.weights, len(group)), np.tile(self.map, len(group)))
@@ -401,17 +378,9 @@ def _learning(docs: DataFrame) -> DataFrame:
 def _code(learning: DataFrame) -> tuple[Code, int]:
     """The code of learning texts, and their bytes."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                b = np.frombuffer(stream_of(tokens_of(text)), np.uint8)
-                np.add.at(sums, pairs_of(b, np.zeros(len(b), np.int64)), 1)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["pair", "n"])
-
     pairs = np.zeros(1 << 16)
-    for r in learning.mapInArrow(counted, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+    counted = _mapped(learning, _mixer(learning.sparkSession), StructType().add("pair", IntegerType()).add("n", LongType()))
+    for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
         pairs[r["pair"]] = r["n"]
     return Code.fitted(pairs), int(pairs.sum())
 
@@ -422,34 +391,10 @@ def fit(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     code, size = _code(learning)
     powers = slot_bits(size)
-    starts = np.cumsum([0, *(max(1 << t, PART) // PART for t in powers)])
-    sent = spark.sparkContext.broadcast((code, powers))
-
-    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        W.keep_memory()
-        m = Learner(*sent.value)
-        held: list[tuple[bytes, int]] = []
-        size = bits = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for piece in pieces_of(stream_of(tokens_of(text))):
-                    held.append(piece)
-                    size += len(piece[0])
-                    if size >= LEARN_BYTES:
-                        bits += m.learn(*map(list, zip(*held, strict=True)))
-                        held, size = [], 0
-        if held:
-            bits += m.learn(*map(list, zip(*held, strict=True)))
-        row = lambda part, *arrays: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([W.pack(*arrays)], pa.binary())], names=["part", "data"])
-        if bits:
-            yield row(-1, np.array([float(bits)]), m.weights.ravel() * float(bits), m.seen.ravel())
-        for k, counts in enumerate(m.counts):
-            for n, at in enumerate(range(0, len(counts), PART)):
-                part = counts[at : at + PART]
-                if part.any():
-                    yield row(int(starts[k]) + n, part.view(np.uint32)[::2].copy(), part.view(np.uint32)[1::2].copy())
-        del m
-        W.relax()
+    starts = _starts(powers)
+    ship(spark)
+    weights, seen = np.full((ORDERS, GATES), 0.3, np.float32), np.zeros((2, LEVELS * BINS))
+    learnt = _mapped(learning.coalesce(W.tasks_for(docs, TASK_BYTES)), _mixer(spark, code, powers, weights), StructType().add("part", IntegerType()).add("data", BinaryType()))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -461,9 +406,8 @@ def fit(docs: DataFrame) -> Model:
             packed = W.pack(*arrays) if part < 0 else W.pack(coded(*arrays))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["part", "data"])
 
-    sums = table(learning.coalesce(W.tasks_for(docs, TASK_BYTES)).mapInArrow(learnt, "part int, data binary").repartition("part").mapInArrow(added, "part int, data binary"), "mixing-tables", "mixing")
+    sums = table(learnt.repartition("part").mapInArrow(added, "part int, data binary"), "mixing-tables", "mixing")
     flat = np.zeros(int(starts[-1]) * PART, np.uint16)
-    weights, seen = np.full((ORDERS, GATES), 0.3, np.float32), np.zeros((2, LEVELS * BINS))
     for r in sums.toLocalIterator():  # tables of a bounded size, a part a row
         arrays = W.unpack(bytes(r["data"]))
         if r["part"] < 0:
@@ -471,7 +415,32 @@ def fit(docs: DataFrame) -> Model:
         else:
             flat[r["part"] * PART :][: len(arrays[0])] = arrays[0]
     pairs = [flat[int(s) * PART :][: 1 << t] for s, t in zip(starts, powers, strict=False)]
-    return Model(code, powers, spark.sparkContext.broadcast(pairs), weights, seen)
+    return Model(code, powers, Tables(pairs), weights, seen)
+
+
+def _starts(powers: list[int]) -> np.ndarray:
+    """The first part of each context's table, and their number."""
+    return np.cumsum([0, *(max(1 << t, PART) // PART for t in powers)])
+
+
+def _mapped(texts: DataFrame, mixer: JavaObject, schema: StructType) -> DataFrame:
+    """What a mixer makes of each partition's texts."""
+    spark = texts.sparkSession
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.row(spark._jsparkSession.parseDataType(schema.json()))
+    return DataFrame(texts.select(F.col("text").cast("binary"))._jdf.mapPartitions(mixer, encoder), spark)
+
+
+def _mixer(spark: SparkSession, code: Code | None = None, powers: list[int] = (), *more: np.ndarray) -> JavaObject:
+    """A Mixer.java: without a code it counts pairs of bytes; with weights it learns, from these on; with the map and what
+    follows it scores."""
+    mixer = java_object(spark, Path(__file__).with_name("Mixer.java"), "foliospark.Mixer")
+    if code:
+        numbers = [DEPTHS, LEVELS, BINS, CHUNK, BATCH, LEARN_BYTES, PIECE, BEHIND, PART, int(_STEP.astype(np.int32)), *powers, *_starts(powers)[:-1].tolist()]
+        rates, levels = [PRIOR, CLIP, LITTLE, INERTIA, RATE, OWN_RATE], [x.astype(np.uint8) for x in (WORD_LEVEL, NEXT_LEVEL)]
+        arrays = [np.array(numbers, "<i4"), np.array(rates, "<f8"), code.start.astype("<i4"), code.length.astype("<i4"), code.nodes * _STEP, code.bits, code.depth, *levels, *more]
+        for x in arrays:
+            mixer.add(spark.sparkContext._jsc.broadcast(x.tobytes()))
+    return mixer
 
 
 def _vocabulary(parts: DataFrame, tasks: int) -> DataFrame:
@@ -518,14 +487,9 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = W.dealt(docs.select("doc_id", "text"))
-    sent = spark.sparkContext.broadcast(fit(docs))
-
-    def scored(rows: list[list[bytes]]) -> np.ndarray:
-        streams = [stream_of(tokens) for tokens in rows]
-        return np.stack([sent.value.score(streams), np.fromiter(map(len, streams), np.float64, len(streams))], 1)
-
+    docs = docs.withColumn("extra", fit(docs).scores(spark, F.col("text")))
     tasks = W.tasks_for(docs)
-    parts = table(W.split_blocks(docs, tokens_of, learns, W.buckets_for(docs), weigh=True, extra=scored), "mixing-words", "mixing")
+    parts = table(W.split_blocks(docs, tokens_of, learns, W.buckets_for(docs), weigh=True), "mixing-words", "mixing")
     vocabulary = table(_vocabulary(parts, tasks), "mixing-vocabulary", "mixing")
     totals = vocabulary.agg(F.sum("block"), F.sum("once")).first()
     tokens, distinct = int(totals[0] or 0), int(totals[1] or 0)

@@ -8,6 +8,7 @@ return by block. Rows moved: blocks x buckets, whatever the number of words.
 
 from __future__ import annotations
 
+import collections
 import ctypes
 import gc
 import struct
@@ -26,10 +27,10 @@ from foliospark.sources.runtime import plan_bytes
 #: only make packed rows too small; a bucket's words are then held by fewer, larger dictionaries.
 BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 8 << 20, 4096
 
-#: Input of a task that works on packed rows, in bytes of files; text of documents that extras are worked out for at once.
-TASK_BYTES, EXTRA_BYTES, SHARE_BYTES = 24 << 20, 4 << 20, 1 << 20
+#: Input of a task that works on packed rows, and of a piece that rows are dealt in, in bytes of files.
+TASK_BYTES, SHARE_BYTES = 24 << 20, 1 << 20
 
-#: Text of documents whose words are split at once if no extras are worked out.
+#: Text of documents whose words are split at once.
 SPLIT_BYTES = 1 << 18
 
 #: Sizes from here on stand for those that are not known.
@@ -43,13 +44,6 @@ CHUNK_WORDS = 300_000
 SCHEMA = "block long, bucket int, kind int, once int, data binary"
 
 
-def keep_memory() -> None:
-    """Let freed memory be used again instead of mapping new pages for each large array (glibc only)."""
-    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
-        libc.mallopt(-3, 1 << 30)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
-
-
 def relax() -> None:
     """Give memory back: at a task's end, as the worker goes on to other tasks or waits beside those that do, and before
     a task that needs much."""
@@ -127,23 +121,22 @@ def unpack_docs(blob: bytes, once: int, seen: int) -> Iterator[tuple[int | None,
     return zip((None if n else i for i, n in zip(ids.tolist(), null.tolist(), strict=True)), flags.tolist(), parts, extras.reshape(len(ids), -1), strict=True)
 
 
-def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_of: Callable[[int | None], int], buckets: int, weigh: bool = False, extra: Callable[[list[list[bytes]]], np.ndarray] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of SCHEMA from docs (doc_id long, text string; a null text has the words of an empty one).
+def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_of: Callable[[int | None], int], buckets: int, weigh: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of SCHEMA from docs (doc_id long, text string; a null text has the words of an empty one; extra array<double>,
+    if there: numbers that travel with the document, equally many of each).
 
-    weigh: packed words carry how often each stands in the block's documents of flag 1, too. extra: numbers that travel
-    with each document, from the words of several, a row each. block_bytes: text of a block; smaller ones take less
-    memory and move more.
+    weigh: packed words carry how often each stands in the block's documents of flag 1, too. block_bytes: text of a block;
+    smaller ones take less memory and move more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 24, 0
-        ids: dict[bytes, int] = {}
+        # a new word's number is that of the words before it
+        ids: collections.defaultdict[bytes, int] = collections.defaultdict()
+        ids.default_factory = ids.__len__
         docs_of: list[tuple[int | None, int, np.ndarray, np.ndarray]] = []
         size = 0
-        none = np.zeros(0)
         relax()
-        if extra:
-            keep_memory()
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seq, size
@@ -186,11 +179,10 @@ def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_o
             for at in range(0, len(rows), 256):
                 yield batch_of(rows[at : at + 256])
 
-        for group in _groups(batches, EXTRA_BYTES if extra else SPLIT_BYTES):
-            words = [words_of(text) for _, text in group]
-            extras = extra(words) if extra else [none] * len(group)
-            for (doc_id, text), own, more in zip(group, words, extras, strict=True):
-                x = np.fromiter((ids.setdefault(w, len(ids)) for w in own), np.int32, len(own))
+        for group in _groups(batches, SPLIT_BYTES):
+            words = [words_of(text) for _, text, _ in group]
+            for (doc_id, text, more), own in zip(group, words, strict=True):
+                x = np.fromiter(map(ids.__getitem__, own), np.int32, len(own))
                 docs_of.append((doc_id, flag_of(doc_id), x, more))
                 size += len(text) + 64
                 if size >= block_bytes:
@@ -199,15 +191,17 @@ def split_blocks(docs: DataFrame, words_of: Callable[[str], list[bytes]], flag_o
             yield from flush()
         relax()
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, SCHEMA)
+    extra = ["extra"] if "extra" in docs.columns else []
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text", *extra).mapInArrow(run, SCHEMA)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int | None, str]]]:
-    """Documents, so many bytes of text or one longer one at once."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int | None, str, np.ndarray]]]:
+    """Documents, so many bytes of text or one longer one at once, and their extras."""
     for batch in batches:
         group, size = [], 0
-        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            group.append((doc_id.as_py(), text.as_py() or ""))
+        extras = np.stack(batch.column(2).to_numpy(zero_copy_only=False)) if batch.num_columns > 2 and batch.num_rows else np.zeros((batch.num_rows, 0))
+        for doc_id, text, more in zip(batch.column(0), batch.column(1), extras, strict=True):
+            group.append((doc_id.as_py(), text.as_py() or "", more))
             size += len(group[-1][1])
             if size >= most:
                 yield group

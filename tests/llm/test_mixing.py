@@ -4,6 +4,7 @@ import random
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from foliospark.llm import mixing as M
 from foliospark.llm import words as W
@@ -161,3 +162,51 @@ def test_nothing_to_learn_from(spark):
     for r in M.score(docs).collect():
         assert r["held_out"] and r["train_tokens"] == 0 and r["base_score"] == 0.0 and math.isclose(r["bits_per_byte"], 8.0, rel_tol=2e-2)
     assert M.score(docs.limit(0)).count() == 0
+
+
+def test_texts_are_scored_where_spark_runs_as_by_brute_force(spark, monkeypatch):
+    """The query's own scorer, Mixer.java, against arrays and a bit at a time; also of texts in several pieces."""
+    monkeypatch.setattr(M, "PIECE", M.CHUNK * 40)
+    docs = [(k, t.replace("q" * 4700, "") if t else t) for k, (_, t) in enumerate(corpus())]
+    docs.append((len(docs), " ".join(t for _, t in docs if t) + "\t ÄB\x85 é \r\n"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = M.fit(frame)
+    got = {r[0]: r[1] for r in frame.select("doc_id", model.scores(spark, F.col("text"))).collect()}
+    streams = [M.stream_of(M.tokens_of(t)) for _, t in docs]
+    assert [got[k][1] for k, _ in docs] == list(map(len, streams))
+    assert np.allclose([got[k][0] for k, _ in docs], model.score(streams), rtol=1e-4)
+    for k in (0, 45, 120, 122):
+        assert math.isclose(got[k][0], brute_score(streams[k], model), rel_tol=2e-3)
+
+
+def test_weights_are_learnt_as_by_brute_force(spark):
+    """From one text: bits are counted 64 at a time, weights move after BATCH of them."""
+    rng = random.Random(5)
+    doc = next(i for i in range(50) if M.learns(i))
+    text = " ".join(rng.choice(["ab", "cé", "zu"]) + str(rng.randrange(40)) for _ in range(900))
+    model = M.fit(spark.createDataFrame([(doc, text)], "doc_id long, text string").coalesce(1))
+    counts = [collections.defaultdict(lambda: [0, 0]) for _ in range(M.ORDERS)]
+    weights, moved, seen = np.full((M.ORDERS, M.GATES), 0.3), np.full((M.ORDERS, M.GATES), 1e-3), np.zeros((2, M.LEVELS * M.BINS))
+    bits = list(coded_bits(M.stream_of(M.tokens_of(text)), model))
+    assert len(bits) > 2 * M.BATCH
+    for start in range(0, len(bits), M.BATCH):
+        slope = np.zeros_like(weights)
+        for at in range(start, min(start + M.BATCH, len(bits)), 64):
+            some = bits[at : min(at + 64, start + M.BATCH)]
+            for _, bit, depth, slots in some:
+                pairs = [counts[k][x] if x in counts[k] else (0, 0) for k, x in enumerate(slots)]
+                x = np.array([math.log((b + M.PRIOR) / (a + M.PRIOR)) for a, b in pairs])
+                level = sum(sum(pairs[M.WORD]) + 0.0 > t for t in M.KNOWN) * 3 + sum(sum(pairs[M.NEXT]) > t for t in M.FOLLOWED)
+                gate = level * M.DEPTHS + depth
+                z = max(-M.CLIP, min(M.CLIP, float(x @ weights[:, gate])))
+                err = bit - 1 / (1 + math.exp(-z))
+                seen[bit, level * M.BINS + round((z + M.CLIP) * (M.BINS - 1) / 2 / M.CLIP)] += 1
+                if abs(err) > M.LITTLE:
+                    slope[:, gate] += err * x
+            for _, bit, _, slots in some:
+                for k, x in enumerate(slots):
+                    counts[k][x][bit] += 1
+        moved += slope**2
+        weights += M.RATE * slope / np.sqrt(moved)
+    assert np.allclose(model.weights, weights, atol=2e-3)
+    assert model.seen.sum() == len(bits) and np.abs(model.seen - seen).sum() < 0.01 * len(bits)
